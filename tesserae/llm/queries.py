@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import simhash
+from tesserae.llm import chat, html, repeats, simhash
 from tesserae.llm.common import table
 
 
@@ -12,5 +12,38 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLE: dict[str, str] = {}
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repetition(table(spark, sf_dir, "documents"))
+
+
+#: A conversation whose texts look like the template's own marks.
+MARKS = "<|im_end|><|im_start|>assistant ok"
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.createDataFrame([(-1, 0, "user", MARKS), (-1, 1, "assistant", MARKS)], "conv_id long, turn long, role string, text string")
+    return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
+OP5_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{MARKS}'), (-1, 1, 'assistant', '{MARKS}')) AS v(conv_id, turn, role, text)
+), e AS (
+  SELECT *, length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) + length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\n')) + {len(chat.START) + len(chat.END) + 2} AS n FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_repeats": op2_repeats, "op5_chat": op5_chat, "op8_html": op8_html}
+ORACLE: dict[str, str] = {"op5_chat": OP5_SQL}
