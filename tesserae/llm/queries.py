@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import chat, html, repeats, simhash
-from tesserae.llm.common import table
+from tesserae.llm import chat, html, packing, repeats, simhash, tokens
+from tesserae.llm.common import fresh_path, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,19 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repetition(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """Where an installed public vocabulary file lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fresh_path(spark, "tokens")
+    tokens.write(table(spark, sf_dir, "documents"), out, vocabulary("byte_bpe_50k.json"))
+    return tokens.digests(spark, out)
+
+
 #: A conversation whose texts look like the template's own marks.
 MARKS = "<|im_end|><|im_start|>assistant ok"
 
@@ -45,5 +58,16 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_repeats": op2_repeats, "op5_chat": op5_chat, "op8_html": op8_html}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_repeats": op2_repeats,
+    "op4_tokens": op4_tokens,
+    "op5_chat": op5_chat,
+    "op8_html": op8_html,
+    "op10_packing": op10_packing,
+}
 ORACLE: dict[str, str] = {"op5_chat": OP5_SQL}
