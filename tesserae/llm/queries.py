@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserae.llm import chat, html, packing, repeats, simhash, tokens
+from tesserae.llm import chat, html, neighbours, packing, repeats, simhash, tokens
 from tesserae.llm.common import fresh_path, table
 
 
@@ -16,6 +17,10 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repetition(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def vocabulary(name: str) -> str:
     """Where an installed public vocabulary file lies."""
     import public_tokenizers
@@ -65,6 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_repeats": op2_repeats,
+    "op3_neighbours": op3_neighbours,
     "op4_tokens": op4_tokens,
     "op5_chat": op5_chat,
     "op8_html": op8_html,
