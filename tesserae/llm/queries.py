@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat, html, neighbours, packing, repeats, simhash, tokens
+from tesserae.llm import chat, html, kneser_ney, neighbours, packing, repeats, simhash, tokens
 from tesserae.llm.common import fresh_path, table
 
 
@@ -59,6 +59,11 @@ FROM e GROUP BY conv_id
 """
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return kneser_ney.classify(docs, kneser_ney.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op3_neighbours": op3_neighbours,
     "op4_tokens": op4_tokens,
     "op5_chat": op5_chat,
+    "op6_kneser_ney": op6_kneser_ney,
     "op8_html": op8_html,
     "op10_packing": op10_packing,
 }
