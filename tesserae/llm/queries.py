@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat, html, kneser_ney, neighbours, packing, repeats, simhash, tokens
+from tesserae.llm import chat, html, kneser_ney, maxent, neighbours, packing, repeats, simhash, tokens
 from tesserae.llm.common import fresh_path, table
 
 
@@ -64,6 +64,10 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(docs, kneser_ney.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op4_tokens": op4_tokens,
     "op5_chat": op5_chat,
     "op6_kneser_ney": op6_kneser_ney,
+    "op7_maxent": op7_maxent,
     "op8_html": op8_html,
     "op10_packing": op10_packing,
 }
