@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat, html, kneser_ney, maxent, neighbours, packing, repeats, simhash, tokens
+from tesserae.llm import chat, html, kneser_ney, maxent, neighbours, packing, repeats, sentencepieces, simhash, tokens
 from tesserae.llm.common import fresh_path, table
 
 
@@ -72,6 +72,10 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trips(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op6_kneser_ney": op6_kneser_ney,
     "op7_maxent": op7_maxent,
     "op8_html": op8_html,
+    "op9_sentencepieces": op9_sentencepieces,
     "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {"op5_chat": OP5_SQL}

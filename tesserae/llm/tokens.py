@@ -32,6 +32,8 @@ _UNCERTAIN = "  |[\\t\\n\\x0b\\f\\r] | [\\t\\n\\x0b\\f\\r]|\\A[\\t\\n\\x0b\\f\\r
 class Encoder:
     """Ids of whole texts. path: a file for the tokenizers library."""
 
+    UNCERTAIN = _UNCERTAIN
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -66,7 +68,7 @@ class Encoder:
         """All ids (int32), one text after the other, and where each text's ids begin (one more entry than texts)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         n = len(texts)
-        certain = np.asarray(pc.and_(pc.invert(pc.match_substring_regex(texts, _UNCERTAIN)), pc.greater(pc.binary_length(texts), 0)))
+        certain = np.asarray(pc.and_(pc.invert(pc.match_substring_regex(texts, self.UNCERTAIN)), pc.greater(pc.binary_length(texts), 0)))
         lists = pc.split_pattern(texts.filter(pa.array(certain)), " ")
         words = lists.flatten()
         offsets = np.asarray(lists.offsets)
