@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import written
 
 END_ID = 2
-# Words whose ids a worker remembers, those met first; others are encoded again in each batch.
+# Words whose ids a worker remembers, the first that came twice in a batch; others are encoded again in each batch.
 REMEMBERED = 300_000
 WORDS_A_STRING = 256
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 24 << 20
 # White space beside a space, at either end, or any but plain ASCII space and line breaks: no certain cut.
 _UNCERTAIN = "  |[\\t\\n\\x0b\\f\\r] | [\\t\\n\\x0b\\f\\r]|\\A[\\t\\n\\x0b\\f\\r ]|[\\t\\n\\x0b\\f\\r ]\\z|[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -60,8 +60,9 @@ class Encoder:
                 ids = np.array(e.ids, "<i4")
                 inside = starts != np.concatenate([ends, [-1]])[np.searchsorted(ends, starts, "right")] - 1
                 owner = np.searchsorted(ends, starts[inside], "right")
-                cuts = np.searchsorted(owner, np.arange(1, len(group)))
-                out += [x.tobytes() for x in np.split(ids[inside], cuts)]
+                cuts = (4 * np.searchsorted(owner, np.arange(len(group) + 1))).tolist()
+                data = ids[inside].tobytes()
+                out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,27 +76,31 @@ class Encoder:
         firsts = np.zeros(len(words), bool)
         firsts[offsets[:-1]] = True
         codes = words.dictionary_encode()
-        index = np.asarray(codes.indices).astype(np.int64)
+        index = np.array(codes.indices)
         kinds = codes.dictionary.to_pylist()
         # A text's first word has no space before it, so it is a kind of its own.
         at_start = np.unique(index[firsts])
-        keys = [" " + w for w in kinds] + [kinds[i] for i in at_start.tolist()]
         index[firsts] = len(kinds) + np.searchsorted(at_start, index[firsts])
+        keys = [" " + w for w in kinds] + [kinds[i] for i in at_start.tolist()]
+        del kinds, codes, words, lists
         get = self.known.get
         ids = [get(k) for k in keys]
         missing = [i for i, x in enumerate(ids) if x is None]
+        again = (np.bincount(index, minlength=len(keys)) > 1).tolist()
         for i, x in zip(missing, self._words([keys[i] for i in missing]), strict=True):
             ids[i] = x
-            if len(self.known) < REMEMBERED:
+            if again[i] and len(self.known) < REMEMBERED:
                 self.known[keys[i]] = x
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begins = np.cumsum(sizes) - sizes
         values = np.frombuffer(b"".join(ids), "<i4")
-        each = sizes[index]
-        ends = np.cumsum(each)
-        gather = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins[index] - (ends - each), each)
-        flat = values[gather]
-        totals = np.concatenate([[0], ends])
+        totals = np.concatenate([[0], np.cumsum(sizes[index])])
+        flat = np.empty(totals[-1], "<i4")
+        for at in range(0, len(index), 1 << 19):
+            some = index[at : at + (1 << 19)]
+            each, first = sizes[some], totals[at : at + len(some)] - totals[at]
+            gather = np.arange(int(each.sum())) + np.repeat(begins[some] - first, each)
+            flat[totals[at] : totals[at + len(some)]] = values[gather]
         lengths = np.zeros(n, np.int64)
         lengths[certain] = totals[offsets[1:]] - totals[offsets[:-1]]
         if certain.all():
