@@ -22,4 +22,11 @@ LABELLED_PAGES = (
     f"<body>{_NAV}<article><h1>+Short talk</h1><p>+Who?</p><p>+Me.</p><p>{_MID}</p><p>+Why?</p><p>+Because.</p><p>{_LONG}</p><p>+Oh.</p></article>{_FOOT}</body>",
     f"<body>{_NAV}<main><p>+Stop.</p><p>{_LONG}</p><p>+Then.</p><p>{_MID}</p><p>+Gone.</p></main><div>Imprint</div><div>Top</div></body>",
     f"<body><div><a href='/'>Home</a> <a href='/m'>More of it</a></div><p>{_LONG}</p><p>{_LONG}</p><p>{_MID}</p><p>{_LONG}</p><div>Copyright</div></body>",
+    f"<body>{_NAV}{_AD}<article><h1>+Cut off</h1><p>{_LONG}</p><p>+and then it",
+    f"<body>{_NAV}<main><p>{_LONG}",
+    "<body><article><p>+so it",
+    f"<article><p>{_MID}",
+    f"<main><p>{_LONG}</p><p>{_MID}</p></main>",
+    f"<body><div>Start page</div><div>Nothing here</div>{_AD}</body>",
+    f"<body>{_NAV}</body>",
 )
