@@ -7,6 +7,7 @@ import math
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from tesserae.errors import NotImplementedYet
 
@@ -63,7 +64,7 @@ def text(value: object) -> str:
     return "{" + ",".join(f"{string(k)}:{text(v)}" for k, v in members) + "}"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical(documents: pd.Series) -> pd.Series:
     """Canonical form of JSON texts."""
     return documents.map(lambda d: None if d is None else text(json.loads(d)))
