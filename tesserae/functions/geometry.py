@@ -16,7 +16,7 @@ Vec = tuple[Column, Column, Column]
 Quat = tuple[Column, Column, Column, Column]
 Pose = tuple[Quat, Vec]
 
-SMALL = 1e-8
+SMALL = 1e-5  # below it, series are exact to double precision
 NO_ROTATION = 1e-30
 
 
@@ -171,7 +171,7 @@ def exp(linear: Vec, angular: Vec) -> Pose:
     a = norm(angular)
     s = _series(a, F.sin(a / 2) / a, 0.5)
     q = (F.cos(a / 2), *scale(angular, s))
-    b = _series(a, (F.lit(1.0) - F.cos(a)) / (a * a), 0.5)
+    b = _series(a, F.sin(a / 2) * F.sin(a / 2) * 2.0 / (a * a), 0.5)
     c = _series(a, (a - F.sin(a)) / (a * a * a), 1.0 / 6.0)
     wv = cross(angular, linear)
     return q, add(add(linear, scale(wv, b)), scale(cross(angular, wv), c))
@@ -183,7 +183,7 @@ def log(p: Pose) -> tuple[Vec, Vec]:
     sign = F.when(p[0][0] < 0, -1.0).otherwise(1.0)
     small = a < SMALL
     w = tuple(F.when(small, u * sign * 2.0).otherwise(x * a) for x, u in zip(axis, p[0][1:], strict=True))
-    c = F.when(small, F.lit(1.0 / 12.0)).otherwise((F.lit(1.0) - a * F.sin(a) / ((F.lit(1.0) - F.cos(a)) * 2.0)) / (a * a))
+    c = F.when(small, F.lit(1.0 / 12.0)).otherwise((F.lit(1.0) - a * F.sin(a) / (F.sin(a / 2) * F.sin(a / 2) * 4.0)) / (a * a))
     wt = cross(w, p[1])
     return add(add(p[1], scale(wt, -0.5)), scale(cross(w, wt), c)), w
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import fields, geometry, grid, samples
-from tesserae.operators import graph, kernels, stats
+from tesserae.operators import files, graph, kernels, stats
 from tesserae.plans import views
 from tesserae.plans.views import table
 
@@ -469,3 +469,95 @@ def pose_exp_log(spark, sf_dir):
     rows, twice = geometry.settled(rows, "twice", *geometry.compose(half, half))
     far = lambda p: sum(F.abs(x - y) for x, y in zip(geometry.act(p, point), geometry.act(pose, point), strict=True))
     return rows.select("s_suppkey", (F.round(far(again), 7) + 0.0).alias("error"), (F.round(far(twice), 7) + 0.0).alias("half_error"))
+
+
+# Files and codecs
+
+CODECS = ("LZW", "PackBits", "Deflate", "Zstd", "Zlib")
+
+
+@query("SELECT codec, count(*) AS texts, CAST(0 AS BIGINT) AS wrong, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents, (VALUES ('LZW'), ('PackBits'), ('Deflate'), ('Zstd'), ('Zlib')) AS v(codec) GROUP BY codec")
+def codec_roundtrip(spark, sf_dir):
+    found = files.codec_check(table(spark, sf_dir, "documents"), "doc_id", "text", CODECS)
+    return found.groupBy("codec").agg(F.count("*").alias("texts"), F.sum((~F.col("same")).cast("bigint")).alias("wrong"), F.sum("n_bytes").alias("n_bytes"))
+
+
+Q_STATS = f"SELECT vec_id, x // 16 % 2 AS tile_col, CAST(min(q) AS DOUBLE) AS min_value, CAST(max(q) AS DOUBLE) AS max_value, round(avg(q), 9) AS mean_value, count(*) AS n FROM ({SAMPLES8}) GROUP BY ALL"
+
+
+def _through_files(spark, sf_dir, kind, **options):
+    """Embeddings as images of 32 by 2 samples, written and read back."""
+    rows = views.samples8(spark, sf_dir).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("x", "q"))).alias("s")).select("vec_id", F.col("s.q").alias("samples"))
+    pixels = files.to_pixels(files.to_files(rows, "vec_id", 32, 16, 16, kind=kind, **options), "vec_id", kind)
+    found = stats.channel_stats(stats.tiled(pixels, F.lit(16), F.lit(16)), ["vec_id", "tile_col"])
+    return found.withColumn("mean_value", F.round("mean_value", 9))
+
+
+@query(Q_STATS)
+def tiff_roundtrip(spark, sf_dir):
+    return _through_files(spark, sf_dir, "tiff", compression="LZW", predictor=2)
+
+
+@query(Q_STATS)
+def chunked_roundtrip(spark, sf_dir):
+    return _through_files(spark, sf_dir, "chunked", compression="zstd")
+
+
+@query(Q_STATS)
+def isis_roundtrip(spark, sf_dir):
+    return _through_files(spark, sf_dir, "isis", compression="None")
+
+
+@query(Q_STATS)
+def pds4_roundtrip(spark, sf_dir):
+    return _through_files(spark, sf_dir, "pds4", compression="None")
+
+
+@query(Q_STATS)
+def raw_roundtrip(spark, sf_dir):
+    return _through_files(spark, sf_dir, "raw", compression="None")
+
+
+# Names from command lines and other programs
+
+SPELLED = "['u8','Byte','uint16','I16','float','DOUBLE','complex'][p_size % 7 + 1]"
+PACKED = "['zip','LZW','packbits','Deflate','none','jpg','brotli'][p_size % 7 + 1]"
+
+
+@query(
+    f"SELECT p_partkey, CASE lower({SPELLED}) WHEN 'u8' THEN 'UInt8' WHEN 'byte' THEN 'UInt8' WHEN 'uint16' THEN 'UInt16' WHEN 'i16' THEN 'Int16' WHEN 'float' THEN 'Float32' WHEN 'double' THEN 'Float64' END AS pixel_type,"
+    f" CASE lower({PACKED}) WHEN 'zip' THEN 'Deflate' WHEN 'lzw' THEN 'LZW' WHEN 'packbits' THEN 'PackBits' WHEN 'deflate' THEN 'Deflate' WHEN 'none' THEN 'None' WHEN 'jpg' THEN 'Jpeg' END AS compression FROM part"
+)
+def parsed_names(spark, sf_dir):
+    pick = lambda *names: F.element_at(F.array(*(F.lit(n) for n in names)), F.col("p_size") % 7 + 1)
+    kind, codec = pick("u8", "Byte", "uint16", "I16", "float", "DOUBLE", "complex"), pick("zip", "LZW", "packbits", "Deflate", "none", "jpg", "brotli")
+    return table(spark, sf_dir, "part").select("p_partkey", samples.parse_pixel_type(kind, strict=False).alias("pixel_type"), samples.parse_compression(codec, strict=False).alias("compression"))
+
+
+@query("SELECT n_nationkey, 'unspecified' AS kind, CAST(n_regionkey AS BIGINT) AS source_image, n_name AS tag FROM nation")
+def geometry_fields(spark, sf_dir):
+    """Scene geometry to fields and back."""
+    f = fields.geometry_fields(F.lit("unspecified"), F.col("n_regionkey"), F.create_map(F.lit("tag"), F.col("n_name")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", fields.geometry(f).alias("g")).select("n_nationkey", "g.kind", "g.source_image", F.try_element_at(F.col("g.parameters"), F.lit("tag")).alias("tag"))
+
+
+@query("SELECT c_custkey, c_name AS model, CAST(c_acctbal AS DOUBLE) AS fx, CAST(c_nationkey AS DOUBLE) AS qw, 'x' AS timestamp FROM customer")
+def camera_roundtrip(spark, sf_dir):
+    """A typed camera to fields and back."""
+    number = lambda c: F.lit(c).cast("double")
+    made = F.struct(
+        F.col("c_name").alias("model"), F.col("c_acctbal").alias("fx"), number(2).alias("fy"), number(3).alias("cx"), number(4).alias("cy"),
+        F.struct(F.col("c_nationkey").cast("double").alias("w"), number(0).alias("x"), number(0).alias("y"), number(1).alias("z")).alias("rotation"), F.struct(number(1).alias("x"), number(2).alias("y"), number(3).alias("z")).alias("position"),
+        F.lit("x").alias("timestamp"), F.struct(F.lit("pinhole").alias("kind"), F.create_map(F.lit("k1"), number(0.5)).alias("parameters")).alias("lens"),
+    )
+    rows = table(spark, sf_dir, "customer").select("c_custkey", fields.camera_fields(made).alias("f")).select("c_custkey", fields.camera(F.col("f")).alias("c"))
+    return rows.select("c_custkey", "c.model", "c.fx", F.col("c.rotation.w").alias("qw"), "c.timestamp")
+
+
+@query("SELECT s_suppkey, round(s_acctbal / 1000 + 2.0 * 0.4 - 3.0 * 0.2, 9) + 0.0 AS vx, 0.1 AS wx, 0.2 AS wy, 0.4 AS wz FROM supplier")
+def twist_transform(spark, sf_dir):
+    """A twist carried by a shift: v + t x w, w."""
+    pose = (geometry.identity()[0], (F.lit(1.0), F.lit(2.0), F.lit(3.0)))
+    linear, angular = (F.col("s_acctbal") / 1000, F.lit(0.0), F.lit(0.0)), (F.lit(0.1), F.lit(0.2), F.lit(0.4))
+    (vx, _, _), (wx, wy, wz) = geometry.transform_twist(pose, linear, angular)
+    return _rounded(table(spark, sf_dir, "supplier").select("s_suppkey", vx.alias("vx"), wx.alias("wx"), wy.alias("wy"), wz.alias("wz")), "s_suppkey")
