@@ -32,6 +32,7 @@ ROUNDS, SMOOTHING = 2, 4.0
 DISCOUNT = 0.5
 TOKENS_AT_ONCE = 65_536
 BLOCK = 512  # buckets in a row of summed gradients
+PIECE = 8 << 20  # bytes of text at once
 
 
 @dataclass
@@ -139,7 +140,7 @@ def count(training: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, 0):
+            for batch in pieces(whole, 0, PIECE):
                 t = Texts.of(batch.column(0))
                 n = np.append(np.bincount(t.index, minlength=len(t.words)), len(batch))
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([t.words.cast(pa.string()), pa.array([END])]), pa.array(n, pa.int64())], ["token", "c"])
@@ -170,7 +171,7 @@ def _gradient_part(training: DataFrame, shared: Broadcast, expected: bool) -> np
         total = np.zeros((FEATURES, BUCKETS * CLASSES))
         each = np.arange(CLASSES)
         for whole in batches:
-            for batch in pieces(whole, 0):
+            for batch in pieces(whole, 0, PIECE):
                 t = Texts.of(batch.column(0))
                 _, numbers = t.numbers(model.vocabulary)
                 buckets = _buckets(numbers, t.starts(), len(model.vocabulary.words))
@@ -227,7 +228,7 @@ def _local(docs: DataFrame, model: Model) -> DataFrame:
         base = np.append(np.log10((v.counts + 1) / (v.tokens + v.kinds + 1)), 0.0)
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
-            for batch in pieces(whole, 2):
+            for batch in pieces(whole, 2, PIECE):
                 t = Texts.of(batch.column(2))
                 kinds, numbers = t.numbers(v)
                 starts = t.starts()

@@ -24,7 +24,7 @@ END_ID = 2
 # Words whose ids a worker remembers, the first that came twice in a batch; others are encoded again in each batch.
 REMEMBERED = 300_000
 WORDS_A_STRING = 256
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 16 << 20
 # White space beside a space, at either end, or any but plain ASCII space and line breaks: no certain cut.
 _UNCERTAIN = "  |[\\t\\n\\x0b\\f\\r] | [\\t\\n\\x0b\\f\\r]|\\A[\\t\\n\\x0b\\f\\r ]|[\\t\\n\\x0b\\f\\r ]\\z|[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -124,10 +124,10 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about BATCH_BYTES of text; a row is never cut."""
+def pieces(batch: pa.RecordBatch, text: int, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about so many bytes of text; a row is never cut."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
-    group = np.cumsum(sizes) // BATCH_BYTES
+    group = np.cumsum(sizes) // size
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(sizes)]])
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         if b > a:
