@@ -478,7 +478,7 @@ CODECS = ("LZW", "PackBits", "Deflate", "Zstd", "Zlib")
 
 @query("SELECT codec, count(*) AS texts, CAST(0 AS BIGINT) AS wrong, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents, (VALUES ('LZW'), ('PackBits'), ('Deflate'), ('Zstd'), ('Zlib')) AS v(codec) GROUP BY codec")
 def codec_roundtrip(spark, sf_dir):
-    found = files.codec_check(table(spark, sf_dir, "documents"), "doc_id", "text", CODECS)
+    found = files.codec_check(views.spread(table(spark, sf_dir, "documents")), "doc_id", "text", CODECS)
     return found.groupBy("codec").agg(F.count("*").alias("texts"), F.sum((~F.col("same")).cast("bigint")).alias("wrong"), F.sum("n_bytes").alias("n_bytes"))
 
 

@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes from so few and small files that most cores would idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < 4 * cores
+    return df.repartition(cores) if few else df
+
+
 def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p_partkey, w, h, t: parts as image descriptors with square tiles."""
     p = table(spark, sf_dir, "part")
