@@ -13,7 +13,14 @@ WORD_BREAKS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes from so few and small files that most cores would idle; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < 4 * cores
+    return df.repartition(cores) if few else df
 
 
 def shared_dir(spark: SparkSession) -> str:
