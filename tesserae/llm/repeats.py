@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.tokens import pieces
+
 # A text keeps if at most this part of its words lies in repeats of MIN_WORDS words or more ...
 MIN_WORDS, MAX_COVERED = 8, 0.5
 # ... and if no repeat has more words than this.
@@ -23,6 +25,7 @@ MAX_REPEAT = 200
 MIN_N_WORDS, WINDOW = 50, 3
 SYMBOLS = "[#*$%&|<>]"
 WORDS_AT_ONCE = 262_144
+PIECE = 3 << 20  # bytes of text whose words are held at once
 
 SCHEMA = pa.schema(
     [("doc_id", pa.int64())]
@@ -142,11 +145,12 @@ def repetition(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float =
     """
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = measures(batch.column(1), min_words, WINDOW)
-            m["doc_id"] = batch.column(0)
-            m["base_failed"], m["kept"] = verdict(m, max_covered, max_repeat)
-            yield pa.RecordBatch.from_arrays([pa.array(m[f.name], f.type) for f in SCHEMA], schema=SCHEMA)
+        for whole in batches:
+            for batch in pieces(whole, 1, PIECE):
+                m = measures(batch.column(1), min_words, WINDOW)
+                m["doc_id"] = batch.column(0)
+                m["base_failed"], m["kept"] = verdict(m, max_covered, max_repeat)
+                yield pa.RecordBatch.from_arrays([pa.array(m[f.name], f.type) for f in SCHEMA], schema=SCHEMA)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(measured, DDL)
 
@@ -159,8 +163,9 @@ def unrepetitive(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float
     at = docs.columns.index("text")
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = measures(batch.column(at), min_words, WINDOW)
-            yield batch.filter(pa.array(verdict(m, max_covered, max_repeat)[1]))
+        for whole in batches:
+            for batch in pieces(whole, at, PIECE):
+                m = measures(batch.column(at), min_words, WINDOW)
+                yield batch.filter(pa.array(verdict(m, max_covered, max_repeat)[1]))
 
     return docs.mapInArrow(chosen, docs.schema)
