@@ -56,7 +56,7 @@ def scene(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     zero = F.lit(0).cast("bigint").alias("scene_id")
     item_id = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint")
     entity = lambda df, kind, key: df.select(zero, F.lit(kind).alias("entity_type"), F.col(key).cast("bigint").alias("entity_id") if isinstance(key, str) else key.alias("entity_id"))
-    entities = entity(orders, "observation", "o_orderkey").unionByName(entity(items, "data-object", item_id)).unionByName(entity(parts, "product", "p_partkey")).unionByName(entity(suppliers, "process-record", "s_suppkey")).distinct()
+    entities = entity(orders, "observation", "o_orderkey").unionByName(entity(items, "data-object", item_id)).unionByName(entity(parts, "product", "p_partkey")).unionByName(entity(suppliers, "process-record", "s_suppkey"))
     off = lambda key, every: F.when(F.col(key) % every == 0, -F.col(key)).otherwise(F.col(key)).cast("bigint")
     produced = items.select(zero, (item_id * 2).alias("ordinal"), F.lit("observation").alias("src_type"), off("l_orderkey", 11).alias("src_id"), F.lit("produces").alias("kind"), F.lit("data-object").alias("dst_type"), item_id.alias("dst_id"))
     kind = F.when(F.col("l_linenumber") == 7, "produces").otherwise("derived-from")
