@@ -212,7 +212,7 @@ def field_lookup(spark, sf_dir):
 @query(
     "WITH c AS (SELECT c_custkey, CAST(c_acctbal AS VARCHAR) AS raw, c_nationkey FROM customer)"
     " SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'pinhole' END AS model, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(700 + c_nationkey AS DOUBLE) END AS fx,"
-    " CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN CAST(c_nationkey AS DOUBLE) ELSE 0.0 END AS position_x, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 0.25 END AS k1 FROM c"
+    " CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN CAST(c_nationkey AS DOUBLE) ELSE 0.0 END AS position_x, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(0.25 AS DOUBLE) END AS k1 FROM c"
 )
 def camera_from_fields(spark, sf_dir):
     """A third of the cameras are partial, a third have no pose."""
@@ -232,7 +232,7 @@ BODY = "CASE n_nationkey % 4 WHEN 0 THEN '301' WHEN 1 THEN '499' WHEN 2 THEN CAS
 @query(
     f"SELECT n_nationkey, CASE {BODY} WHEN '301' THEN 'Moon' WHEN '499' THEN 'Mars' ELSE coalesce({BODY}, 'Vesta') END AS planet, coalesce({BODY}, '20000004') AS iau_id,"
     f" CASE WHEN n_nationkey % 2 = 0 THEN 'IAU_MOON_2000' ELSE 'UNSPECIFIED' END AS frame, CASE WHEN {BODY} IS NULL THEN 'sinusoidal' ELSE 'equirectangular' END AS projection,"
-    f" CASE WHEN {BODY} IS NULL THEN 12.5 END AS lat0 FROM nation"
+    f" CASE WHEN {BODY} IS NULL THEN CAST(12.5 AS DOUBLE) END AS lat0 FROM nation"
 )
 def crs_projection(spark, sf_dir):
     """Registered and older forms."""
@@ -419,7 +419,7 @@ ACT = [f"({R[i * 3]}) * 1.0 + ({R[i * 3 + 1]}) * (-2.0) + ({R[i * 3 + 2]}) * a"
 
 @query(
     f"SELECT s_suppkey, round({ACT[0]} + a, 9) + 0.0 AS x, round({ACT[1]} + 2.0, 9) + 0.0 AS y, round({ACT[2]} + 3.0, 9) + 0.0 AS z,"
-    " 1.0 AS back_x, -2.0 AS back_y, round(a, 9) + 0.0 AS back_z FROM (" + QUAT + ")"
+    " CAST(1 AS DOUBLE) AS back_x, CAST(-2 AS DOUBLE) AS back_y, round(a, 9) + 0.0 AS back_z FROM (" + QUAT + ")"
 )
 def pose_act_compose(spark, sf_dir):
     """A pose, and its inverse after it."""
@@ -456,7 +456,7 @@ def screw_pitch_axis(spark, sf_dir):
     return _rounded(rows.select("s_suppkey", pitch.alias("pitch"), direction[0].alias("dx"), (point[2] - F.col("b") * 0.2 / (F.col("b") * F.col("b") + 0.25)).alias("pz")), "s_suppkey")
 
 
-@query("SELECT s_suppkey, 0.0 AS error, 0.0 AS half_error FROM supplier")
+@query("SELECT s_suppkey, CAST(0 AS DOUBLE) AS error, CAST(0 AS DOUBLE) AS half_error FROM supplier")
 def pose_exp_log(spark, sf_dir):
     """exp(log(pose)) is the pose, and half of the way twice is the whole way."""
     rows, q = _posed(spark, sf_dir)
@@ -554,7 +554,7 @@ def camera_roundtrip(spark, sf_dir):
     return rows.select("c_custkey", "c.model", "c.fx", F.col("c.rotation.w").alias("qw"), "c.timestamp")
 
 
-@query("SELECT s_suppkey, round(s_acctbal / 1000 + 2.0 * 0.4 - 3.0 * 0.2, 9) + 0.0 AS vx, 0.1 AS wx, 0.2 AS wy, 0.4 AS wz FROM supplier")
+@query("SELECT s_suppkey, round(s_acctbal / 1000 + 2.0 * 0.4 - 3.0 * 0.2, 9) + 0.0 AS vx, CAST(0.1 AS DOUBLE) AS wx, CAST(0.2 AS DOUBLE) AS wy, CAST(0.4 AS DOUBLE) AS wz FROM supplier")
 def twist_transform(spark, sf_dir):
     """A twist carried by a shift: v + t x w, w."""
     pose = (geometry.identity()[0], (F.lit(1.0), F.lit(2.0), F.lit(3.0)))
