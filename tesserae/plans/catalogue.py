@@ -431,7 +431,7 @@ def pose_act_compose(spark, sf_dir):
     return _rounded(rows.select("s_suppkey", *(c.alias(n) for c, n in zip(there, "xyz", strict=True)), *(c.alias(f"back_{n}") for c, n in zip(back, "xyz", strict=True))), "s_suppkey")
 
 
-@query("SELECT event_id, round(1.0 + value * 0.5, 9) + 0.0 AS x, round(2.0 - value * 0.25, 9) + 0.0 AS y, round(user_id + 0.0, 9) + 0.0 AS z, round(cos(value * 0.005), 9) + 0.0 AS w, round(sin(value * 0.005), 9) + 0.0 AS qz FROM events")
+@query("SELECT event_id, round(1.0 + value * 0.5, 9) + 0.0 AS x, round(2.0 - value * 0.25, 9) + 0.0 AS y, CAST(user_id AS DOUBLE) AS z, round(cos(value * 0.005), 9) + 0.0 AS w, round(sin(value * 0.005), 9) + 0.0 AS qz FROM events")
 def state_propagate(spark, sf_dir):
     """Half a second of straight motion while turning about z."""
     pose = (geometry.identity()[0], (F.lit(1.0), F.lit(2.0), F.col("user_id").cast("double")))
