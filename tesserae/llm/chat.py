@@ -11,7 +11,7 @@ doubled and "<|" becomes "<", backslash, "|"; a line break in a role becomes bac
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import fresh_path
@@ -43,25 +43,22 @@ def formatted(turns: DataFrame) -> DataFrame:
     Other columns are not read; no rows give no rows.
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    head = lambda t: F.concat(F.lit(START), _escaped_role(t["role"]), F.lit("\n"))
-    parts = F.transform("turns", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), head(t).alias("head"), escaped(t["text"]).alias("body")))
-    tail = END + "\n"
-    sized = whole.select("conv_id", parts.alias("parts"))
-    # One pass over the turns: where the next one starts, and the spans so far.
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<turn:bigint,context_end:bigint,loss_start:bigint,loss_end:bigint>>").alias("spans"))
-
-    def step(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["head"])
-        end = start + F.length(p["body"])
-        span = F.struct(p["turn"].alias("turn"), state["at"].alias("context_end"), start.cast("long").alias("loss_start"), end.cast("long").alias("loss_end"))
-        return F.struct((end + len(tail)).cast("long").alias("at"), F.when(p["role"] == TRAINED, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
-
-    return sized.select(
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    head, body = F.concat(F.lit(START), _escaped_role(F.col("role")), F.lit("\n")), escaped(F.col("text"))
+    rows = rows.withColumns({"head": F.length(head), "body": F.length(body), "piece": F.concat(head, body, F.lit(END + "\n"))})
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("at", F.coalesce(F.sum(F.length("piece").cast("long")).over(before), F.lit(0).cast("long")))
+    part = F.struct("at", "turn", (F.col("role") == TRAINED).alias("trained"), "head", "body", "piece")
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+
+    def span(p: Column) -> Column:
+        start = p["at"] + p["head"]
+        return F.struct(p["turn"].alias("turn"), p["at"].alias("context_end"), start.alias("loss_start"), (start + p["body"]).alias("loss_end"))
+
+    return whole.select(
         "conv_id",
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(tail))), "").alias("text"),
-        F.aggregate("parts", begin, step)["spans"].alias("spans"),
+        F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("text"),
+        F.transform(F.filter("parts", lambda p: p["trained"]), span).alias("spans"),
     )
 
 
