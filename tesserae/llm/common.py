@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 # Characters that separate words: space, and U+0009 to U+000D.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 
@@ -45,6 +51,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], T]) -> T:
+    """What a worker process keeps between tasks: one thing at a time, so operators don't add up their tables."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Gives up what an operator before has kept in this worker process."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import release
 from tesserae.llm.tokens import pieces
 
 # A text keeps if at most this part of its words lies in repeats of MIN_WORDS words or more ...
@@ -145,6 +146,7 @@ def repetition(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float =
     """
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for batch in pieces(whole, 1, PIECE):
                 m = measures(batch.column(1), min_words, WINDOW)
@@ -163,6 +165,7 @@ def unrepetitive(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float
     at = docs.columns.index("text")
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for batch in pieces(whole, at, PIECE):
                 m = measures(batch.column(at), min_words, WINDOW)

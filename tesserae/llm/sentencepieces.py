@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import tokens
+from tesserae.llm.common import held
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -156,14 +157,9 @@ class Pieces(tokens.Encoder):
         return b"".join(map(self.bytes.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
 
 
-_PIECES: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    """One for each file and worker process."""
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    """One for each worker process."""
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

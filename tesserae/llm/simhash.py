@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import components, written
+from tesserae.llm.common import components, release, written
 
 WORDS, SEED, MAX_BITS = 4, 42, 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -46,6 +46,7 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         found = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
