@@ -29,6 +29,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if few else df
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with this session's Arrow batches bounded by bytes: ten thousand long texts must not meet in one."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; one is made only where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

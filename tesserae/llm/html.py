@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import bounded
 from tesserae.llm.html_labels import LABELLED_PAGES
 
 # Names of elements, by what they mean for a text block.
@@ -210,5 +211,5 @@ def extract(pages: DataFrame) -> DataFrame:
     Null and empty pages, and pages without article text, give an empty text. Null ids and urls pass through;
     repeated rows give a row each; other columns are not read; no rows give no rows.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

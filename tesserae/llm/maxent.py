@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import written
+from tesserae.llm.common import bounded, written
 from tesserae.llm.tokens import pieces
 
 END = "\n"  # the token after a text's last word; no word holds a line break
@@ -259,7 +259,7 @@ def _local(docs: DataFrame, model: Model) -> DataFrame:
 def split(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, text. A null doc_id counts as the empty text in the split."""
     as_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.crc32(as_text.cast("binary")) % 7 == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (F.crc32(as_text.cast("binary")) % 7 == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS, most: int = COMMON) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import release
+from tesserae.llm.common import bounded, release
 from tesserae.llm.tokens import pieces
 
 # A text keeps if at most this part of its words lies in repeats of MIN_WORDS words or more ...
@@ -154,7 +154,7 @@ def repetition(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float =
                 m["base_failed"], m["kept"] = verdict(m, max_covered, max_repeat)
                 yield pa.RecordBatch.from_arrays([pa.array(m[f.name], f.type) for f in SCHEMA], schema=SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(measured, DDL)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(measured, DDL)
 
 
 def unrepetitive(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -171,4 +171,4 @@ def unrepetitive(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float
                 m = measures(batch.column(at), min_words, WINDOW)
                 yield batch.filter(pa.array(verdict(m, max_covered, max_repeat)[1]))
 
-    return docs.mapInArrow(chosen, docs.schema)
+    return bounded(docs).mapInArrow(chosen, docs.schema)

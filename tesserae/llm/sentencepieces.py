@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import tokens
-from tesserae.llm.common import held
+from tesserae.llm.common import bounded, held
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -172,7 +172,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ids, bounds = own.encode(batch.column(1))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "text", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import components, release, written
+from tesserae.llm.common import bounded, components, release, written
 
 WORDS, SEED, MAX_BITS = 4, 42, 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -54,7 +54,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long); one row for each row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 

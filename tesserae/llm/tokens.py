@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import held, written
+from tesserae.llm.common import bounded, held, written
 
 END_ID = 2
 # Words whose ids a worker remembers, the first that came twice in a batch; others are encoded again in each batch.
@@ -141,7 +141,7 @@ def crc32(ids: np.ndarray) -> int:
 
 def in_order(docs: DataFrame, rows_a_task: int | None = None) -> DataFrame:
     """doc_id and text (null: empty), range-partitioned and sorted by doc_id; copies of an id by their text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
 
