@@ -39,7 +39,8 @@ MARKS = "<|im_end|><|im_start|>assistant ok"
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    more = spark.createDataFrame([(-1, 0, "user", MARKS), (-1, 1, "assistant", MARKS)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(MARKS).alias("text"))
     return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
 
 
