@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from tesserae.llm import resemblance, simhash
+from tesserae.llm import repeats, resemblance, simhash
 
 
 def prose(rng, n):
@@ -54,3 +54,23 @@ def test_shingles_and_nodes():
     assert len(resemblance.shingles("a b c d e f")) == 2 and len(resemblance.shingles("A b")) == 1 and not len(resemblance.shingles(" \n"))
     assert np.array_equal(resemblance.shingles("a B c"), resemblance.shingles(" A\tb c")) and resemblance.node("a B") == resemblance.node("A  b ") != resemblance.node("ab")
     assert resemblance.bands(resemblance.shingles(None)) == []
+
+
+def test_each_limit_of_repetition_rejects(spark):
+    rng = random.Random(8)
+    lines = [prose(rng, 12) for _ in range(4)]
+    block = prose(rng, 220)
+    texts = {
+        "plain": prose(rng, 300),
+        "covered": "\n".join([*lines, prose(rng, 200), *lines[::-1]]),
+        "share": prose(rng, 150) + " " + "one two " * 20 + prose(rng, 100),
+        "long": "\n".join([block, prose(rng, 3000), block]),
+        "little": "\n".join([lines[0], prose(rng, 200), lines[0]]),
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = dict(zip(texts, sorted(repeats.repetition(docs).collect()), strict=True))
+    assert not any(r.base_failed for r in got.values())
+    assert {name: r.kept for name, r in got.items()} == {"plain": True, "covered": False, "share": False, "long": False, "little": True}
+    fails = {name: (r.covered_words > repeats.MAX_COVERED * r.n_words, r.longest_repeat > repeats.MAX_REPEAT_SHARE * r.n_words, r.longest_repeat > repeats.MAX_REPEAT) for name, r in got.items()}
+    assert (fails["covered"], fails["share"], fails["long"]) == ((True, False, False), (False, True, False), (False, False, True))
+    assert {r.doc_id for r in repeats.unrepetitive(docs).collect()} == {0, 4}
