@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from tesserae.llm import repeats, resemblance, simhash
+from tesserae.llm import kneser_ney, repeats, resemblance, simhash
 
 
 def prose(rng, n):
@@ -74,3 +74,20 @@ def test_each_limit_of_repetition_rejects(spark):
     fails = {name: (r.covered_words > repeats.MAX_COVERED * r.n_words, r.longest_repeat > repeats.MAX_REPEAT_SHARE * r.n_words, r.longest_repeat > repeats.MAX_REPEAT) for name, r in got.items()}
     assert (fails["covered"], fails["share"], fails["long"]) == ((True, False, False), (False, True, False), (False, False, True))
     assert {r.doc_id for r in repeats.unrepetitive(docs).collect()} == {0, 4}
+
+
+def test_bounds_are_of_all_trusted_documents(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 30), "en" if i % 2 else "fr") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    found = kneser_ney.train(docs, labels, most=40)
+    assert {"en", "fr"} < set(found.bounds)
+    is_aside = {r.doc_id for r in docs.where(f"pmod(xxhash64(text), {kneser_ney.MEASURED_IN}) = 0").collect()}
+    x = {r.doc_id: np.log10(r.perplexity) for r in kneser_ney.classify(docs, found).collect()}
+    for odd, lang in enumerate(("fr", "en")):
+        own = [[x[i] for i in range(odd, 600, 2) if (i in is_aside) == side] for side in (False, True)]
+        low = min(np.quantile(v, kneser_ney.LOW) for v in own)
+        high = max(np.quantile(v, kneser_ney.HIGH) for v in own)
+        more = max(kneser_ney.SLACK, kneser_ney.WIDER * (high - low))
+        assert np.allclose(found.bounds[lang], (low - more, high + more), atol=2e-5)
