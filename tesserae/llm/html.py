@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +40,16 @@ GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|story|content|mai
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"\s+")
 
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "bad", "good", "heading")
 
 
-@cache
+# Elements whose meaning is remembered: so many, with attributes of so many characters at most.
+REMEMBERED, SHORT = 65_536, 400
+
+
 def _meaning(name: str, attributes: str) -> tuple[int, int, bool]:
     """Whether an element with these attributes speaks against or for article text, and whether it is shown."""
     bad, good, shown = int(name in BAD_ELEMENTS), int(name in GOOD_ELEMENTS), name not in UNSEEN
@@ -63,6 +66,9 @@ def _meaning(name: str, attributes: str) -> tuple[int, int, bool]:
     return bad, good, shown
 
 
+_remembered = lru_cache(REMEMBERED)(_meaning)
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     """(text, words, words in links, bad, good, heading) of each block, in page order; only blocks with text."""
     out: list[tuple[str, int, int, int, int, int]] = []
@@ -125,7 +131,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         if name in VOID or token[0].endswith("/>"):
             continue
         _, bad, good, shown = stack[-1] if stack else ("", 0, 0, True)
-        more = _meaning(name, token[3].strip()[:400])
+        attributes = token[3].strip()
+        more = (_remembered if len(attributes) <= SHORT else _meaning)(name, attributes)
         stack.append((name, bad + more[0], good + more[1], shown and more[2]))
         links += name == "a"
         raw = name if name in RAW else ""

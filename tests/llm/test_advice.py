@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from tesserae.llm import kneser_ney, repeats, resemblance, simhash
+from tesserae.llm import html, kneser_ney, repeats, resemblance, simhash
 
 
 def prose(rng, n):
@@ -91,3 +92,15 @@ def test_bounds_are_of_all_trusted_documents(spark):
         high = max(np.quantile(v, kneser_ney.HIGH) for v in own)
         more = max(kneser_ney.SLACK, kneser_ney.WIDER * (high - low))
         assert np.allclose(found.bounds[lang], (low - more, high + more), atol=2e-5)
+
+
+LONG = f"data-state='{'x' * 500}' onclick='a.hidden = true; id = 1'"
+
+
+@pytest.mark.parametrize("attribute", ["class='sidebar'", "role=navigation", "hidden", "style='color: red; display:none'", f"class='{'wide ' * 100}sidebar'", "aria-hidden='true'", "ID='comments'"])
+def test_attributes_count_wherever_they_stand(attribute):
+    text = "<p>Words of an article that go on for a while, as they do.</p>"
+    other = "<p>Words of a reader that go on for a while, and have no link.</p>"
+    plain = "Words of an article that go on for a while, as they do."
+    assert html.main_text(f"<article>{text}<div {LONG}>{other}</div></article>").count("Words") == 2
+    assert html.main_text(f"<article>{text}<div {LONG} {attribute}>{other}</div></article>") == plain
