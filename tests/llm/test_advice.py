@@ -104,3 +104,15 @@ def test_attributes_count_wherever_they_stand(attribute):
     plain = "Words of an article that go on for a while, as they do."
     assert html.main_text(f"<article>{text}<div {LONG}>{other}</div></article>").count("Words") == 2
     assert html.main_text(f"<article>{text}<div {LONG} {attribute}>{other}</div></article>") == plain
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    rng = random.Random(10)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(1, a, 0), (1, a, 0), (1, a, 0), (None, a, 1), (2, b, 2), (3, b, 3), (3, c, 4), (None, d, 5), (None, d, 5), (None, d.upper(), 6), (4, " ", 7), (5, None, 8), (6, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert [(i, t) for i, t in got if i is not None] == [(1, a), (2, b), (3, c), (4, " ")]
+    assert [t.lower() for i, t in got if i is None] == [d.lower()]
