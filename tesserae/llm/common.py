@@ -9,13 +9,14 @@ from collections.abc import Callable
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
 # Characters that separate words: space, and U+0009 to U+000D.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,15 +31,22 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df, with this session's Arrow batches bounded by bytes: ten thousand long texts must not meet in one."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """df, with this session's Arrow batches bounded by bytes, unless a bound has been set: ten thousand long texts must not meet in one.
+
+    Batches are made when a result is read, so the setting has to outlive the call.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":  # what Spark takes if nothing is set
+        conf.set(key, str(BATCH_BYTES))
     return df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one is made only where none is configured."""
+    """The folder that the driver and all executors see. One is made only on a single machine, and only where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
         found = tempfile.mkdtemp(prefix="tesserae-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -46,7 +54,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tesserae-{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder. It is deleted when the application ends: results that are read later lie there."""
+    path = f"{shared_dir(spark).rstrip('/')}/tesserae-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place.getParent())
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -57,6 +70,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# A key with more than one part in so many of all rows is split; so at most this many keys are.
+PARTS = 1024
+
+
+def skewed_join(rows: DataFrame, lookup: DataFrame, key: str, by: Column, total: int, n: str = "n") -> DataFrame:
+    """rows joined to lookup by key. lookup has few rows for each key and says how many of rows hold it (column n, which goes).
+
+    Keys that hold more than their share of all rows are split by a hash of the column by, and their lookup rows are
+    repeated for each split. There are at most PARTS such keys, so telling which they are is a broadcast of bounded
+    size, and their repeats are at most twice as many for each of their lookup rows.
+    """
+    share = max(32, total // PARTS)
+    times = F.when(F.col(n) > share, F.ceil(F.col(n) / share)).otherwise(1).cast("int")
+    hot = lookup.where(F.col(n) > share).select(F.col(key).alias("_key"), times.alias("_times")).distinct()
+    salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("_times")), F.lit(0)).cast("int")
+    left = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left").withColumn("_salt", salt).drop("_key", "_times")
+    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), times - 1))).drop(n)
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 _HELD: dict[tuple, object] = {}
 
 
@@ -80,8 +113,9 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     links: columns a, b (long, not null). Returns node, root: the smallest node reachable.
-    Every step is an aggregation and a join on node keys; a step's edges are at most as many as before,
-    and the steps grow with the logarithm of the longest path. Nothing but two sums reaches the driver.
+    Every step is an aggregation and a join on node keys, split where a node has many edges; a step's edges are at
+    most as many as before, and the steps grow with the logarithm of the longest path. Nothing but two sums reaches
+    the driver.
     """
     shared_dir(links.sparkSession)
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
@@ -90,12 +124,12 @@ def components(links: DataFrame) -> DataFrame:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break
-        before = mark
+        before, n = mark, mark[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        kept = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = skewed_join(both, low, "u", F.col("v"), 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        kept = skewed_join(large, low, "u", F.col("v"), n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = kept.unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

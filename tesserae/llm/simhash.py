@@ -16,12 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import bounded, components, release, written
+from tesserae.llm.common import bounded, components, release, skewed_join, written
 
 WORDS, SEED, MAX_BITS = 4, 42, 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 # Variants of more rows than this are compared block by block in tasks of their own.
 HOT_ROWS = 32_768
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:
@@ -69,8 +70,8 @@ def variants(distinct: DataFrame) -> DataFrame:
     return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def _forest(key: np.ndarray, fp: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among rows with one key (key is sorted). other: 0 and 1, compare only across."""
+def _forest(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among rows with one key (key is sorted)."""
     n = len(key)
     label = np.arange(n)
     out_a, out_b = [], []
@@ -81,8 +82,6 @@ def _forest(key: np.ndarray, fp: np.ndarray, other: np.ndarray | None = None) ->
         if not len(at):
             break
         near = at[(label[at] != label[at + step]) & (np.bitwise_count(fp[at] ^ fp[at + step]) <= MAX_BITS)]
-        if other is not None:
-            near = near[other[near] != other[near + step]]
         for a in near.tolist():
             x, y = a, a + step
             while label[x] != x:
@@ -122,17 +121,40 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _block_links(frame: pa.Table) -> pa.Table:
-    """One pair of blocks of a hot variant."""
-    fp = frame.column("fp").to_numpy().view(np.uint64)
-    a, b = _forest(np.zeros(len(fp), np.int64), fp)
-    return pa.Table.from_batches([_pairs(a, b)])
+    """One pair of blocks of a hot variant. Rows of one block are compared where the block meets itself, and only there."""
+    fp, block = frame.column("fp").to_numpy().view(np.uint64), frame.column("block").to_numpy()
+    if frame.column("i")[0] == frame.column("j")[0]:
+        return pa.Table.from_batches([_pairs(*_forest(np.zeros(len(fp), np.int64), fp))])
+    return pa.Table.from_batches([_pairs(*_across(fp[block == block.min()], fp[block != block.min()]))])
+
+
+def _across(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between rows of x and rows of y."""
+    label = np.arange(len(x) + len(y))
+
+    def top(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    out: list[tuple[int, int]] = []
+    for i in range(len(x)):
+        for j in np.flatnonzero(np.bitwise_count(x[i] ^ y) <= MAX_BITS).tolist():
+            a, b = top(i), top(len(x) + j)
+            if a != b:
+                label[max(a, b)] = min(a, b)
+                out.append((i, j))
+    at = np.array(out, np.int64).reshape(-1, 2)
+    return x[at[:, 0]], y[at[:, 1]]
 
 
 def links(distinct: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all that lie within MAX_BITS of each other.
 
     A variant holds the rows of at most two segment values, so segment counts show whether any is hot. Hot
-    variants are cut into blocks by a hash and each pair of blocks is one bounded task: exact, without a cap.
+    variants are cut into blocks by a hash and each pair of blocks is one bounded task: exact, without a cap. Their
+    list is broadcast if it is short, else joined.
     """
     rows = variants(distinct)
     per_segment = F.array(*(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << w) - 1)).bitwiseOR(F.lit(i << 22)) for i, (at, w) in enumerate(SEGMENTS)))
@@ -140,12 +162,13 @@ def links(distinct: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     usual, hot_links = rows, None
     if 2 * most > hot_rows:
         hot = written(rows.groupBy("key").count().where(F.col("count") > hot_rows), "hot-variants")
+        hot = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
         usual = rows.join(hot, "key", "left_anti")
         half = max(1, hot_rows // 2)
         blocks = F.ceil(F.col("count") / half).cast("int")
         own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-        spread = rows.join(hot, "key").select("key", "fp", F.explode(pairs).alias("p")).select("key", "fp", "p.i", "p.j")
+        spread = rows.join(hot, "key").select("key", "fp", own.alias("block"), F.explode(pairs).alias("p")).select("key", "fp", "block", "p.i", "p.j")
         hot_links = spread.groupBy("key", "i", "j").applyInArrow(_block_links, "a long, b long")
     found = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
     return found if hot_links is None else found.unionByName(hot_links)
@@ -159,12 +182,14 @@ def near_duplicates(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     alone has a null id. Other columns of docs are not read. No rows: no rows.
     """
     marks = written(fingerprints(docs), "fingerprints")
-    distinct = written(marks.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
+    distinct = written(marks.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
+    rows, n_distinct = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     roots = components(links(distinct.select("fp"), hot_rows))
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = placed.join(lowest, "root").select("fp", "component_id")
-    return marks.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")), "placed-fingerprints")
+    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
+    classes = skewed_join(placed, lowest, "root", F.col("fp"), n_distinct, "members").select("fp", "component_id", "n")
+    hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return skewed_join(marks, classes, "fp", F.col("doc_id"), rows).select("doc_id", hex_digits.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
