@@ -1,30 +1,40 @@
 """Approximate nearest neighbours by inner product: score-aware quantisation, four-bit scans, exact reranking.
 
-Vectors are quantised in pairs of components with 16 centres each. Codes and centres minimise the anisotropic
+A vector is its direction and the logarithm of its norm, so neither tiny nor huge finite vectors lose digits.
+Directions are quantised in pairs of components with 16 centres each. Codes and centres minimise the anisotropic
 loss |r|^2 + (eta - 1) (r . x/|x|)^2 of the residual r, which weighs the part of the error along the vector,
 since that part moves large inner products most. A query's products with all centres form byte tables; a block of
-codes is scanned by table look-ups, its best rows are scored exactly, and the best of all blocks are returned.
-Queries and rows meet in a grid of blocks of bounded size, so no task holds more than one block of each.
+codes is scanned by table look-ups.
+
+Each code keeps the length of its residual, which bounds its products' errors. So how many rows a query has scored
+exactly follows from measured errors: all whose product may reach the k-th best (`sure` standard errors either
+side; None takes the proven bound and finds the exact answer). There is no cap. Only codes meet the queries, in a
+grid of blocks; vectors are joined to the finalists, and blocks that many queries ask for are split.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import written
+from tesserae.llm.common import release, skewed_join, written
 
 # The model is fitted on at most this many rows, those whose ids have the smallest hashes.
 SAMPLE_ROWS = 8_192
 CENTRES, SWEEPS, ROUNDS = 16, 2, 5
 THRESHOLD = 0.2  # of a vector's norm: products above it matter
-BLOCK_ROWS, BLOCK_QUERIES = 8_192, 4_096
-RERANKED = 128  # distinct vectors of a block that are scored exactly
-SCANNED_AT_ONCE = 64
+SURE = 1.25
+BLOCK_ROWS, BLOCK_QUERIES = 262_144, 16_384
+CELLS_AT_ONCE = 1 << 20  # products held at once
+VECTOR_ROWS, PAIRS = 16_384, 65_536  # rows in a block of vectors, finalists that a task scores
+MOST_BLOCKS = 1_000_000
+FLOOR, LIFT = -60.0, 1_300.0  # the logarithm of the smallest cosine that is told from zero; lifts all logarithms above zero
 
 
 @dataclass
@@ -63,16 +73,20 @@ def _assign(x: np.ndarray, unit: np.ndarray, centres: np.ndarray, eta: float, co
     return codes
 
 
-def _units(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt((x**2).sum((1, 2), keepdims=True))
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length one, and the binary logarithms of their lengths. Rows are finite and none is zero."""
+    largest = np.abs(x).max(1)
+    x = x / largest[:, None]
+    length = np.sqrt((x**2).sum(1))
+    return x / length[:, None], np.log2(largest) + np.log2(length)
 
 
 def fit(sample: np.ndarray) -> Quantiser:
     """sample: rows of finite vectors, none zero. Deterministic: centres start at quantiles of the first component."""
-    x = _in_pairs(sample)
+    x = _in_pairs(directions(np.asarray(sample, np.float64))[0])
     d = sample.shape[1]
     eta = max(1.0, (d - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
-    unit = _units(x)
+    unit = x
     order = np.argsort(x[:, :, 0] + 1e-3 * x[:, :, 1], axis=0)
     at = ((np.arange(CENTRES) + 0.5) * len(x) / CENTRES).astype(int)
     centres = np.stack([x[order[at, m], m] for m in range(x.shape[1])])
@@ -93,12 +107,14 @@ def fit(sample: np.ndarray) -> Quantiser:
     return Quantiser(centres, eta)
 
 
-def encode(q: Quantiser, vectors: np.ndarray) -> np.ndarray:
-    """Two four-bit codes to a byte: rows x pairs / 2."""
-    x = _in_pairs(vectors)
+def encode(q: Quantiser, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two four-bit codes to a byte (rows x pairs / 2), and the lengths of the residuals. units: rows of length one."""
+    x = _in_pairs(units)
     codes = np.stack([((x[:, m, None] - q.centres[None, m]) ** 2).sum(2).argmin(1) for m in range(q.pairs)], 1)
-    codes = _assign(x, _units(x), q.centres, q.eta, codes, SWEEPS).astype(np.uint8)
-    return codes[:, 0::2] << 4 | codes[:, 1::2]
+    codes = _assign(x, x, q.centres, q.eta, codes, SWEEPS)
+    error = np.sqrt(((x - q.centres[np.arange(q.pairs)[None, :], codes]) ** 2).sum((1, 2)))
+    codes = codes.astype(np.uint8)
+    return codes[:, 0::2] << 4 | codes[:, 1::2], error
 
 
 def scan(q: Quantiser, codes: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -116,41 +132,37 @@ def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def nearest_in_block(q: Quantiser, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, reranked: int) -> tuple[np.ndarray, ...]:
-    """query_id, vec_id, score of the k best of a block for each query.
+def _keys(cosines: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Numbers in the order of cosine times norm, which itself may be beyond a double's range. norms: logarithms."""
+    size = np.maximum(np.log2(np.maximum(np.abs(cosines), 1e-300)), FLOOR) + (norms + LIFT)
+    return np.where(cosines < 0, -size, size)
 
-    Equal vectors are scanned once: among them the k + 1 smallest ids can be wanted at most, one being the query's own.
-    """
-    order = np.argsort(ids, kind="stable")
-    ids, vectors, codes = ids[order], vectors[order], codes[order]
-    _, first, owner = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * 8)))[:, 0], return_index=True, return_inverse=True)
-    grouped = np.argsort(owner, kind="stable")
-    sizes = np.bincount(owner)
-    begins = np.cumsum(sizes) - sizes
-    wanted = np.minimum(sizes, k + 1)
-    distinct, codes = vectors[first], codes[first]
-    found: list[list[np.ndarray]] = [[], [], []]
-    for at in range(0, len(queries), SCANNED_AT_ONCE):
-        y, y_ids = queries[at : at + SCANNED_AT_ONCE], query_ids[at : at + SCANNED_AT_ONCE]
-        rough = scan(q, codes, y)
-        best = np.argpartition(-rough, reranked, axis=1)[:, :reranked] if rough.shape[1] > reranked else np.tile(np.arange(rough.shape[1]), (len(y), 1))
-        score = (distinct[best] * y[:, None, :]).sum(2)
-        row = np.repeat(np.arange(len(y)), best.shape[1])
-        best, score = best.ravel(), score.ravel()
-        n = wanted[best]
-        ends = np.cumsum(n)
-        each = np.arange(ends[-1]) - np.repeat(ends - n, n)
-        vec = ids[grouped[np.repeat(begins[best], n) + each]]
-        row, score = np.repeat(row, n), np.repeat(score, n)
-        other = vec != y_ids[row]
-        row, score, vec = row[other], score[other], vec[other]
-        order = np.lexsort((vec, -score, row))
-        row, score, vec = row[order], score[order], vec[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        top = place < k
-        for out, x in zip(found, (y_ids[row[top]], vec[top], score[top]), strict=True):
-            out.append(x)
-    return tuple(np.concatenate(x) for x in found)
+
+def finalists(q: Quantiser, codes: np.ndarray, errors: np.ndarray, norms: np.ndarray, units: np.ndarray, k: int, sure: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query (a row of units): the rows that may be among its k best, the most that each may reach, and the least
+    that the best k reach."""
+    # A residual's part along a query is some 1/sqrt(d) of its length; at most it is all of it, and tables are rounded.
+    margin = errors + 1e-4 if sure is None else sure * errors / np.sqrt(2 * q.pairs)
+    step = max(1, CELLS_AT_ONCE // max(1, len(codes)))
+    for at in range(0, len(units), step):
+        rough = scan(q, codes, units[at : at + step]).astype(np.float64)
+        least, most = _keys(rough - margin, norms), _keys(rough + margin, norms)
+        if len(codes) > k:
+            best = np.partition(least, len(codes) - k, axis=1)[:, len(codes) - k :]
+            for row, high in zip(best, most, strict=True):
+                some = np.flatnonzero(high >= row.min())
+                yield some, high[some], row
+        else:
+            for low, high in zip(least, most, strict=True):
+                yield np.arange(len(codes)), high, low
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision; rows are scaled by powers of two first, so only results can overflow."""
+    _, a = np.frexp(np.abs(x).max(1))
+    _, b = np.frexp(np.abs(y).max(1))
+    with np.errstate(over="ignore"):
+        return np.ldexp((np.ldexp(x, -a[:, None]) * np.ldexp(y, -b[:, None])).sum(1), a + b)
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -162,7 +174,7 @@ def usable(rows: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(fine)
-    length = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
+    length = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)  # one row
     return good.join(F.broadcast(length), F.size("v") == F.col("d")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -174,44 +186,110 @@ def fit_on(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Quantiser | None:
     return fit(_matrix(sample.column(0), len(sample.column(0)[0])))
 
 
+INDEX = "vec_id long, v array<double>, asks boolean, g binary, norm double, error double, codes binary"
+
+
 def index(rows: DataFrame, q: Quantiser) -> DataFrame:
-    """rows with codes (binary): every row is encoded."""
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                codes = encode(q, _matrix(batch.column(1), len(batch.column(1)[0])))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "codes"])
+    """rows (vec_id, v, asks) with g (a 128-bit hash of the vector), norm, error and codes: every row is encoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for whole in batches:
+            for at in range(0, len(whole), VECTOR_ROWS):
+                batch = whole.slice(at, VECTOR_ROWS)
+                x = _matrix(batch.column(1), len(batch.column(1)[0]))
+                units, norms = directions(x)
+                codes, errors = encode(q, units)
+                g = [hashlib.md5(r.tobytes(), usedforsecurity=False).digest() for r in x + 0.0]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g, pa.binary()), pa.array(norms), pa.array(errors), pa.array([c.tobytes() for c in codes], pa.binary())], [c.split()[0] for c in INDEX.split(", ")])
+
+    return rows.mapInArrow(run, INDEX)
+
 
-    return rows.mapInArrow(run, "vec_id long, v array<double>, codes binary")
+def _scanned(indexed: DataFrame, asked: DataFrame, q: Quantiser, k: int, sure: float | None, row_blocks: int, query_blocks: int) -> DataFrame:
+    """g, ids, most, least: each query's finalists in each block of codes."""
+    spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    block = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+    left = indexed.select(block("vec_id", row_blocks).alias("b"), spread(query_blocks).alias("c"), "vec_id", "norm", "error", "codes")
+    right = asked.select(spread(row_blocks).alias("b"), block("g", query_blocks).alias("c"), "g", "v")
+    schema = pa.schema([("g", pa.binary()), ("ids", pa.list_(pa.int64())), ("most", pa.list_(pa.float64())), ("least", pa.list_(pa.float64()))])
+
+    def run(data: pa.Table, questions: pa.Table) -> pa.Table:
+        release()
+        if not data.num_rows or not questions.num_rows:
+            return schema.empty_table()
+        ids = data.column("vec_id").to_numpy()
+        codes = np.frombuffer(b"".join(data.column("codes").to_pylist()), np.uint8).reshape(data.num_rows, -1)
+        units, _ = directions(_matrix(questions.column("v"), len(questions.column("v")[0])))
+        found = list(finalists(q, codes, data.column("error").to_numpy(), data.column("norm").to_numpy(), units, k, sure))
+        lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts), kind))
+        columns = [questions.column("g").combine_chunks(), lists([ids[f[0]] for f in found], pa.int64()), lists([f[1] for f in found], pa.float64()), lists([f[2] for f in found], pa.float64())]
+        return pa.table(columns, schema=schema)
+
+    return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(run, "g binary, ids array<long>, most array<double>, least array<double>")
+
+
+def _scored(pairs: DataFrame, indexed: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """g, vec_id, score of all pairs (g, vec_id). A block of vectors that many queries ask for is repeated, its pairs dealt by query."""
+    blocks = max(1, min(MOST_BLOCKS, -(-n // VECTOR_ROWS)))
+    block = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int").alias("r")
+    grouped = written(pairs.select("g", block, "vec_id").groupBy("g", "r").agg(F.collect_list("vec_id").alias("ids")), "finalists")
+    times = grouped.groupBy("r").agg(F.ceil(F.sum(F.size("ids")) / PAIRS).cast("int").alias("times"))
+    times = F.broadcast(times)  # at most MOST_BLOCKS rows of eight bytes
+    left = indexed.select(block, "vec_id", "v").join(times, "r").select("r", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("s"), "vec_id", "v")
+    right = grouped.join(asked.select("g", "v"), "g").join(times, "r").select("r", F.pmod(F.xxhash64("g"), F.col("times")).cast("int").alias("s"), "g", "v", "ids")
+    schema = pa.schema([("g", pa.binary()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def run(data: pa.Table, questions: pa.Table) -> pa.Table:
+        release()
+        if not data.num_rows or not questions.num_rows:
+            return schema.empty_table()
+        d = len(data.column("v")[0])
+        ids, x, y = data.column("vec_id").to_numpy(), _matrix(data.column("v"), d), _matrix(questions.column("v"), d)
+        order = np.argsort(ids)
+        lists = questions.column("ids").combine_chunks()
+        of = np.repeat(np.arange(len(y)), np.diff(np.asarray(lists.offsets)))
+        wanted = lists.flatten().to_numpy()
+        at = order[np.searchsorted(ids[order], wanted)]
+        score = np.concatenate([products(x[at[i : i + VECTOR_ROWS]], y[of[i : i + VECTOR_ROWS]]) for i in range(0, len(at), VECTOR_ROWS)])
+        return pa.table([questions.column("g").combine_chunks().take(pa.array(of)), pa.array(wanted), pa.array(score)], schema=schema)
+
+    return left.groupBy("r", "s").cogroup(right.groupBy("r", "s")).applyInArrow(run, "g binary, vec_id long, score double")
 
 
-def search(embeddings: DataFrame, is_query, k: int = 20, reranked: int = RERANKED, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def search(embeddings: DataFrame, is_query: Column, k: int = 20, sure: float | None = SURE, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best found for each usable row for which the column is_query holds.
 
-    A query's own id is never found. Scores are exact inner products in double precision; ties go to the smaller
-    vec_id. No usable row: no rows. Other columns of embeddings are not read.
+    A query's own id is never found. Scores are inner products in double precision (infinite beyond its range); ties
+    go to the smaller vec_id (of infinite ones, among the rows scored). sure: standard errors of products within which a row is scored exactly; None: all that
+    can be among the best, so the answer is exact. No usable row: no rows. Other columns of embeddings are not read.
     """
     spark = embeddings.sparkSession
-    rows = written(usable(embeddings), "vectors")
+    rows = written(usable(embeddings).withColumn("asks", F.coalesce(is_query, F.lit(False))), "vectors")
     q = fit_on(rows)
     if q is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n, n_queries = rows.agg(F.count("*"), F.coalesce(F.sum(is_query.cast("long")), F.lit(0))).first()
-    row_blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // block_queries))
-    spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    block = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
-    left = index(rows, q).select(block(row_blocks).alias("b"), spread(query_blocks).alias("c"), "vec_id", "v", "codes")
-    right = rows.where(is_query).select(spread(row_blocks).alias("b"), block(query_blocks).alias("c"), "vec_id", "v")
-
-    def run(data: pa.Table, asked: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not data.num_rows or not asked.num_rows:
-            return schema.empty_table()
-        d = len(asked.column("v")[0])
-        codes = np.frombuffer(b"".join(data.column("codes").to_pylist()), np.uint8).reshape(data.num_rows, -1)
-        out = nearest_in_block(q, data.column("vec_id").to_numpy(), _matrix(data.column("v"), d), codes, asked.column("vec_id").to_numpy(), _matrix(asked.column("v"), d), k, reranked)
-        return pa.table([pa.array(x) for x in out], schema=schema)
-
-    found = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    indexed = written(index(rows, q), "index")
+    # Of equal vectors the k + 1 smallest ids can be wanted at most, one being the query's own. Equal queries ask once.
+    place = F.row_number().over(Window.partitionBy("g").orderBy("vec_id"))
+    wanted = written(indexed.drop("asks").withColumn("_place", place).where(F.col("_place") <= k + 1).drop("_place"), "wanted-vectors")
+    members = indexed.where("asks").select(F.col("vec_id").alias("query_id"), "g")
+    asked = written(indexed.where("asks").groupBy("g").agg(F.first("v").alias("v"), F.count("*").alias("n")), "queries")
+    n = wanted.count()
+    n_distinct, n_queries = asked.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    row_blocks = max(1, -(-n // block_rows))
+    query_blocks = max(1, -(-n_distinct // block_queries), min(n_distinct // 32, 2 * spark.sparkContext.defaultParallelism // row_blocks))
+    scanned = written(_scanned(wanted, asked, q, k + 1, sure, row_blocks, query_blocks), "scanned")
+    # The k + 1 best of what blocks' rows reach at least: what may reach less in all is no finalist.
+    least = scanned.select("g", F.explode("least").alias("least"))
+    last = least.withColumn("_place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("least")))).where(F.col("_place") <= k + 1)
+    last = last.groupBy("g").agg(F.min("least").alias("last"), F.count("*").alias("n"))
+    reached = F.filter(F.arrays_zip("ids", "most"), lambda p: (p["most"] >= F.col("last")) | (F.col("n") <= k))
+    pairs = scanned.join(last, "g").select("g", F.explode(F.transform(reached, lambda p: p["ids"])).alias("vec_id"))
+    scores = _scored(pairs, wanted, asked, n)
+    best = Window.partitionBy("g").orderBy(F.desc("score"), "vec_id")
+    top = scores.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k + 1)
+    lists = top.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("found")).join(asked.select("g", "n"), "g")
+    others = F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, k)
+    each = skewed_join(members, lists, "g", F.col("query_id"), n_queries).select("query_id", F.posexplode(others).alias("rank", "f"))
+    return each.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.minus")).alias("score"))

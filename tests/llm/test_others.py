@@ -139,14 +139,65 @@ def test_anisotropic_codes_lose_less_along_the_vector():
     flat = neighbours.Quantiser(q.centres, 1.0)
 
     def along(quantiser):
-        packed = neighbours.encode(quantiser, x)
+        packed, errors = neighbours.encode(quantiser, x)
         codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(x), -1)
         back = q.centres[np.arange(q.pairs)[None, :], codes].reshape(len(x), -1)
+        assert np.allclose(errors, np.linalg.norm(x - back, axis=1))
         return np.abs(((x - back) * x).sum(1)).mean()
 
     assert along(q) < along(flat)
 
 
+def odd_norms(kind):
+    x = vectors(8000, 64, 5).astype(np.float64)
+    if kind == "lognormal":
+        return x * np.exp(2 * np.random.default_rng(6).normal(size=(len(x), 1)))
+    x[20] = {"huge": x[20] * 1e30, "tiny": x[20] * 1e-200, "largest": np.sign(x[20]) * np.finfo(float).max, "smallest": np.sign(x[20]) * 5e-324, "unit": x[20]}[kind]
+    return x
+
+
+@pytest.mark.parametrize("kind", ["unit", "lognormal", "huge", "tiny", "largest", "smallest"])
+def test_recall_on_any_finite_vectors(kind):
+    """At the size of a usual block, against brute force in double precision."""
+    x, k = odd_norms(kind), 20
+    q = neighbours.fit(x)
+    units, norms = neighbours.directions(x)
+    codes, errors = neighbours.encode(q, units)
+    asked = np.r_[20, np.arange(0, 8000, 160)]
+    for sure, least in ((neighbours.SURE, 0.95), (None, 1.0)):
+        hits = 0
+        for i, (some, _, _) in zip(asked, neighbours.finalists(q, codes, errors, norms, units[asked], k + 1, sure), strict=True):
+            score = neighbours.products(x, np.repeat(x[i : i + 1], len(x), 0))
+            score[i] = -np.inf
+            hits += len(set(np.lexsort((np.arange(len(x)), -score))[:k].tolist()) & set(some.tolist()))
+        assert hits >= least * k * len(asked), (kind, sure)
+
+
+def test_products_scale_by_powers_of_two():
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(50, 8)), rng.normal(size=(50, 8))
+    assert np.allclose(neighbours.products(x, y), (x * y).sum(1), rtol=1e-15, atol=1e-15)
+    assert neighbours.products(np.array([[1e300, 1e300]]), np.array([[1e300, -1e300]]))[0] == 0
+    assert neighbours.products(np.array([[1e300, 1e300]]), np.array([[1e300, 1e300]]))[0] == np.inf
+    assert neighbours.products(np.array([[1e-200, 0.0]]), np.array([[1e150, 1e150]]))[0] == pytest.approx(1e-50)
+
+
+def test_one_vector_on_most_rows(spark):
+    """Copies of one vector, which is also the best answer to all: every query still finds its own best, exactly."""
+    x = vectors(600, 16, 8).astype(np.float64)
+    x[100:500] = 3 * np.abs(x[100])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, k=5, sure=None, block_rows=100, block_queries=10).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert set(got) == set(range(0, 600, 20))
+    for i, found in got.items():
+        score = neighbours.products(x, np.repeat(x[i : i + 1], 600, 0))
+        order = [j for j in np.lexsort((np.arange(600), -score.round(12))).tolist() if j != i][:5]
+        assert [found[r][0] for r in range(1, 6)] == order
+        assert np.allclose([found[r][1] for r in range(1, 6)], score[order])
+
+
 def test_pipeline(spark):
     pytest.importorskip("public_tokenizers")
     sf_dir = "/root/testdata/sf0.001"
