@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -295,6 +296,133 @@ def test_maxent_learns(spark):
     assert sum(r.score for r in got) > 0.75 * sum(r.base_score for r in got)
 
 
+def is_held(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 7 == 2
+
+
+@pytest.mark.parametrize("n_training", [0, 1, 2, 3])
+def test_maxent_base_with_few_training_texts(spark, n_training):
+    """The end counts as known as soon as one text has it, however rare it is."""
+    training, aside = [i for i in range(60) if not is_held(i)][:n_training], [i for i in range(60) if is_held(i)][:2]
+    texts = ["a c", "a b a", None, "d " * 3, "a z"]
+    rows = [(i, texts[at]) for at, i in enumerate([*training, *aside])]
+    got = {r.doc_id: r for r in maxent.score(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1).collect()}
+    counts = Counter()
+    for i, t in rows:
+        if i in training:
+            counts.update([*words(t), "end"])
+    n, v = sum(counts.values()), len(counts)
+    for i, t in rows:
+        w = [*words(t), "end"]
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(counts[x] > 0 for x in w), n)
+        assert got[i].base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), abs=1e-9)
+        assert math.isfinite(got[i].score) and got[i].score <= 0
+
+
+def plain_maxent(rows, rounds, most):
+    """score by doc_id: the model with loops and whole numbers."""
+    import pandas as pd
+
+    mask, classes, slots = (1 << 64) - 1, maxent.CLASSES, maxent.SLOTS
+    texts = {i: [*words(lower(t)), "\n"] for i, t in rows}
+    counts = Counter(w for i in texts if not is_held(i) for w in texts[i])
+    top = sorted((w for w in counts if w != "\n" and counts[w] >= maxent.LEAST and len(w.encode()) <= maxent.LONGEST), key=lambda w: (-counts[w], w))[:most]
+    common = [w for w in top if counts[w] > counts["\n"]] + ["\n"] + [w for w in top if counts[w] <= counts["\n"]]
+    total = sum(counts[w] for w in common)
+    leaf, before = {}, 0
+    for w in common:
+        leaf[w] = min(before * (classes - 1) * slots // total, (classes - 1) * slots - 1)
+        before += counts[w]
+    place = lambda w: (1 + leaf[w] // slots, leaf[w] % slots) if w in leaf else (0, 0)
+    used = {place(w) for w in [*common, None]}
+    hashed = {w: int(pd.util.hash_array(np.array([w], object), categorize=False)[0]) for t in texts.values() for w in t} | {"\n": maxent.END_HASH}
+
+    def features(t, at):
+        one = hashed[t[at - 1]] if at else maxent.EDGE_HASH
+        two = hashed[t[at - 2]] if at > 1 else maxent.EDGE_HASH
+        return [x * 0x9E3779B97F4A7C15 & mask for x in (one, two + 0x51ED27 & mask, one * 1_000_003 & mask ^ two)]
+
+    bucket = lambda x, n: x >> 64 - (n.bit_length() - 1)
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    events = [(features(texts[i], at), *place(w)) for i in texts if not is_held(i) for at, w in enumerate(texts[i])]
+    shares, slot_shares = np.full(classes, 1e-3), np.array([[1e-3 if (c, s) in used else 0 for s in range(slots)] for c in range(classes)]) + 1e-9
+    for _, c, s in events:
+        shares[c] += 1
+        slot_shares[c, s] += 1
+    shares, slot_shares = shares / shares.sum(), slot_shares / slot_shares.sum(1, keepdims=True)
+    bias = np.array([[math.log(slot_shares[c, s]) if (c, s) in used else maxent.NEVER for s in range(slots)] for c in range(classes)])
+    by_class, by_slot = {}, {}
+
+    def probabilities(x, c):
+        z, y = np.log(shares), bias[c]
+        for f, h in enumerate(x):
+            z = z + by_class.get((f, bucket(h, maxent.BUCKETS)), 0)
+            y = y + by_slot.get((f, bucket(h, maxent.SLOT_BUCKETS), c), 0)
+        return softmax(z), softmax(y)
+
+    for done in range(rounds + 1):
+        seen, wanted = {}, {}
+        for x, c, s in events:
+            p, q = probabilities(x, c) if done else (shares, slot_shares[c])
+            for f, h in enumerate(x):
+                for key, n, one, share in (((f, bucket(h, maxent.BUCKETS)), classes, c, p), ((f, bucket(h, maxent.SLOT_BUCKETS), c), slots, s, q)):
+                    seen.setdefault(key, np.zeros(n))[one] += 1
+                    wanted[key] = wanted.get(key, 0) + share
+        for key in seen:
+            table, prior = (by_class, shares) if len(key) == 2 else (by_slot, slot_shares[key[2]])
+            table[key] = table.get(key, 0) + np.log1p((seen[key] - wanted[key]) / (wanted[key] + maxent.SMOOTHING * prior)) / 3
+    rare = {w: c for w, c in counts.items() if w not in leaf}
+    in_leaf = Counter()
+    for w in common:
+        in_leaf[place(w)] += counts[w]
+
+    def word(w):
+        if w in leaf:
+            return counts[w] / in_leaf[place(w)]
+        if not rare:
+            return 1.0
+        return (rare[w] - maxent.DISCOUNT if w in rare else maxent.DISCOUNT * len(rare)) / sum(rare.values())
+
+    out = {}
+    for i, t in texts.items():
+        out[i] = 0.0
+        for at, w in enumerate(t):
+            c, s = place(w)
+            p, q = probabilities(features(t, at), c)
+            out[i] += math.log10(p[c] * q[s] * word(w))
+    return out
+
+
+@pytest.mark.parametrize("most", [maxent.COMMON, 12])
+def test_maxent_against_plain_model(spark, most):
+    rng = random.Random(12)
+    follow = {w: rng.sample("abcdefghijklmnop", 3) for w in "abcdefghijklmnop"}
+    rows = []
+    for i in range(60):
+        w = [rng.choice("abcdefghijklmnop")]
+        for _ in range(25):
+            w.append(rng.choice(follow.get(w[-1], "ab")) if rng.random() < 0.9 else f"rare{rng.randrange(40)}")
+        rows.append((i, " ".join(w)))
+    rows += [(60, None), (61, ""), (62, "É " * 5 + "x" * 100), (63, "Rare1 RARE1\nrare1")]
+    got = {r.doc_id: r.score for r in maxent.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), most=most).collect()}
+    expected = plain_maxent(rows, maxent.ROUNDS, most)
+    assert set(got) == set(expected)
+    for i, x in expected.items():
+        assert got[i] == pytest.approx(x, rel=2e-4, abs=2e-4), i
+
+
+def test_a_rare_word_in_every_text(spark):
+    """One unseen and one overlong word on all rows: the join on them is split and nothing is lost."""
+    long = "y" * 70
+    rows = [(i, f"a b {long} unseen{'' if is_held(i) else i}") for i in range(200)]
+    got = maxent.score(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1).collect()
+    training = [i for i, _ in rows if not is_held(i)]
+    n, v = 5 * len(training), 4 + len(training)
+    for r in got:
+        assert (r.n_tokens, r.n_known) == (5, 4 if r.held_out else 5)
+        assert r.base_score == pytest.approx(4 * math.log10((len(training) + 1) / (n + v + 1)) + math.log10((1 if r.held_out else 2) / (n + v + 1)), abs=1e-9)
+
+
 def test_kneser_ney(spark):
     rng = random.Random(4)
     good = [(i, prose(rng, 120), "en" if i % 2 else "fr") for i in range(160)]
