@@ -1,14 +1,15 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page becomes a flat list of text blocks. A block is described by its word count and link density, those of
-its two neighbours, and what its enclosing elements say (their names, classes and ids). A decision tree, grown
-on the small labelled table in html_labels.py, tells article text from the rest.
+A page becomes a flat list of text blocks. A block is described by its word count and link density and those of
+its two neighbours; the tree that is grown on the small labelled table in html_labels.py asks for these first. Where
+they leave doubt (an advert of ten words, a reader's long comment), it asks what the enclosing elements say.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -25,7 +26,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-UNSEEN = frozenset("script style noscript template iframe object svg canvas math textarea title head".split())
+UNSEEN = frozenset("script style noscript template iframe object svg canvas textarea title head".split())
 RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSE_P = BLOCKS - {"br", "button", "body", "html", "head", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup"}
@@ -33,141 +34,161 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option
 BAD_ELEMENTS = frozenset("nav header footer aside form button select menu dialog fieldset label option".split())
 GOOD_ELEMENTS = frozenset("article main".split())
 BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|foot|side|sidebar\w*|aside|widget\w*|related\w*|recommend\w*|share|sharing|social\w*"
-    r"|comment\w*|respond|reply|replies|disqus\w*|discussion|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|newsletter\w*|subscribe\w*|signup|login|search\w*|pagination|pager|tags?|meta|byline|copyright|legal|disclaimer|skip\w*|toolbar|hidden)(?=$|[\s_-])"
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|sidebar\w*|aside|widget\w*|related\w*|recommend\w*|share|sharing|social\w*"
+    r"|comment\w*|respond|responses?|reply|replies|disqus\w*|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|newsletter\w*|subscribe\w*|signup|login|pagination|pager|byline|copyright|disclaimer|skip\w*|toolbar|hidden)(?=$|[\s_-])"
 )
-GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|story|content|main|text|body)(?=$|[\s_-])")
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+RAW_END = {name: re.compile(f"</{name}", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"\s+")
 
-FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "bad", "good", "heading")
+NUMBERS = ("words", "links", "before_words", "before_links", "after_words", "after_links")
+FEATURES = (*NUMBERS, "furniture", "named", "article", "heading")
 
 
 # Elements whose meaning is remembered: so many, with attributes of so many characters at most.
-REMEMBERED, SHORT = 65_536, 400
+REMEMBERED, SHORT = 16_384, 400
 
 
-def _meaning(name: str, attributes: str) -> tuple[int, int, bool]:
-    """Whether an element with these attributes speaks against or for article text, and whether it is shown."""
-    bad, good, shown = int(name in BAD_ELEMENTS), int(name in GOOD_ELEMENTS), name not in UNSEEN
+def _meaning(name: str, attributes: str) -> tuple[int, int, int, bool]:
+    """Whether an element is furniture by kind or role, by class or id, or an article; and whether it is shown."""
+    furniture, named, article, shown = int(name in BAD_ELEMENTS), 0, int(name in GOOD_ELEMENTS), name not in UNSEEN
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            bad |= int(bool(BAD_NAMES.search(value)))
-            good |= int(bool(GOOD_NAMES.search(value)))
+            named |= int(bool(BAD_NAMES.search(value)))
         elif key == "role":
-            bad |= int(value in BAD_ROLES)
-            good |= int(value in ("main", "article"))
+            furniture |= int(value in BAD_ROLES)
+            article |= int(value in ("main", "article"))
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             shown = False
-    return bad, good, shown
+    return furniture, named, article, shown
 
 
 _remembered = lru_cache(REMEMBERED)(_meaning)
 
+# Of a block: its text, its words, its words in links, and whether an enclosing element is furniture by kind, by name,
+# an article, a heading.
+Block = tuple[str, int, int, int, int, int, int]
+INLINE = frozenset("b i em strong span font a u".split())
+SECTIONS = frozenset("article footer aside nav main section".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
-    """(text, words, words in links, bad, good, heading) of each block, in page order; only blocks with text."""
-    out: list[tuple[str, int, int, int, int, int]] = []
-    stack: list[tuple[str, int, int, bool]] = []  # name, bad, good, shown; sums over what encloses
+
+def blocks(page: str) -> list[Block]:
+    """In page order; only blocks with text."""
+    out: list[Block] = []
+    stack: list[tuple[str, int, int, int, int, bool]] = []  # name; sums over what encloses; shown
+    opened: Counter[str] = Counter()  # names in the stack
     parts: list[str] = []
     linked: list[str] = []
-    links = 0
-    raw = ""
 
     def end() -> None:
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                _, bad, good, _ = stack[-1] if stack else ("", 0, 0, True)
-                heading = int(any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack))
-                out.append((text, len(text.split()), len(html.unescape("".join(linked)).split()), min(bad, 1), min(good, 1), heading))
+                _, furniture, named, article, heading, _ = stack[-1] if stack else ("", 0, 0, 0, 0, True)
+                out.append((text, len(text.split()), len(html.unescape("".join(linked)).split()), min(furniture, 1), min(named, 1), min(article, 1), min(heading, 1)))
             parts.clear()
             linked.clear()
 
     def leave(name: str) -> None:
-        nonlocal links
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0] == name:
-                if any(x[0] in BLOCKS for x in stack[at:]):
-                    end()
-                links -= sum(x[0] == "a" for x in stack[at:])
-                del stack[at:]
-                return
-
-    for token in TOKEN.finditer(page):
+        """Closes the innermost element of this name and what is open in it."""
+        if not opened[name]:
+            return
+        at = len(stack) - 1
+        while stack[at][0] != name:
+            at -= 1
+        if any(x[0] in BLOCKS for x in stack[at:]):
+            end()
+        for x in stack[at:]:
+            opened[x[0]] -= 1
+        del stack[at:]
+
+    at = 0
+    while token := TOKEN.match(page, at):
+        at = token.end()
         name = token[2]
         if name is None:
             text = token[0]
-            if raw or text[:2] in ("<!", "<?") or stack and not stack[-1][3]:
+            if text[:2] in ("<!", "<?") or stack and not stack[-1][5]:
                 continue
             parts.append(text)
-            if links:
+            if opened["a"]:
                 linked.append(text)
             continue
         name = name.lower()
-        if raw and not (token[1] and name == raw):
-            continue
         if token[1]:
-            raw = "" if name == raw else raw
+            leave(name)
             if name in BLOCKS:
-                leave(name)
                 end()
-            else:
-                leave(name)
             continue
         if name in BLOCKS:
             end()
-        if name in CLOSE_P and any(x[0] == "p" for x in stack[-4:]):
+        if name in CLOSE_P and opened["p"]:
             leave("p")
         if name in SAME and stack and stack[-1][0] in SAME[name]:
             leave(stack[-1][0])
-        if name in ("article", "footer", "aside", "nav", "main", "section") and stack:
-            while stack and stack[-1][0] in ("b", "i", "em", "strong", "span", "font", "a", "u"):
+        if name in SECTIONS:
+            while stack and stack[-1][0] in INLINE:
                 leave(stack[-1][0])  # inline elements left open end with the block they are in
+        if name in RAW:  # its content is no markup
+            found = RAW_END[name].search(page, at)
+            at = found.start() if found else len(page)
         if name in VOID or token[0].endswith("/>"):
             continue
-        _, bad, good, shown = stack[-1] if stack else ("", 0, 0, True)
+        _, furniture, named, article, heading, shown = stack[-1] if stack else ("", 0, 0, 0, 0, True)
         attributes = token[3].strip()
         more = (_remembered if len(attributes) <= SHORT else _meaning)(name, attributes)
-        stack.append((name, bad + more[0], good + more[1], shown and more[2]))
-        links += name == "a"
-        raw = name if name in RAW else ""
+        stack.append((name, furniture + more[0], named + more[1], article + more[2], heading + (name in HEADINGS), shown and more[3]))
+        opened[name] += 1
     end()
     return out
 
 
-def features(found: list[tuple[str, int, int, int, int, int]]) -> np.ndarray:
+def features(found: list[Block]) -> np.ndarray:
     """A row for each block, columns as FEATURES."""
-    x = np.array([(b[1], b[2] / max(1, b[1]), b[3], b[4], b[5]) for b in found], np.float64).reshape(-1, 5)
+    x = np.array([(b[1], b[2] / max(1, b[1]), *b[3:]) for b in found], np.float64).reshape(-1, 6)
     edge = np.zeros((1, 2))
     return np.hstack([x[:, :2], np.vstack([edge, x[:-1, :2]])[: len(x)], np.vstack([x[1:, :2], edge])[: len(x)], x[:, 2:]])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> tuple:
+# What the tree may ask for, in this order: columns, levels, and how many labelled blocks a side must have. Numbers come
+# first; what encloses a block is asked where they leave doubt; where that says nothing either, numbers again.
+STAGES = ((range(len(NUMBERS)), 2, 60), (range(len(NUMBERS), len(FEATURES)), 4, 1), (range(len(NUMBERS)), 3, 10))
+
+
+def grow(x: np.ndarray, y: np.ndarray, stage: int = 0, level: int = 0) -> tuple:
     """A binary decision tree by Gini impurity: (label,) or (feature, threshold, low, high)."""
     share = y.mean() if len(y) else 0.0
-    if depth == 0 or len(y) < 2 * least or share in (0.0, 1.0):
+    if share in (0.0, 1.0) or stage == len(STAGES):
         return (bool(share >= 0.5),)
-    best = (0.0, -1, 0.0)
-    whole = share * (1 - share) * len(y)
-    for f in range(x.shape[1]):
+    columns, levels, least = STAGES[stage]
+    best = _cut(x, y, columns, least) if level < levels else None
+    if best is None:
+        return grow(x, y, stage + 1)
+    f, cut = best
+    low = x[:, f] <= cut
+    return f, cut, grow(x[low], y[low], stage, level + 1), grow(x[~low], y[~low], stage, level + 1)
+
+
+def _cut(x: np.ndarray, y: np.ndarray, columns: range, least: int) -> tuple[int, float] | None:
+    """The feature and threshold that part labels best, with so many blocks at least on either side."""
+    share = y.mean()
+    most, best = 1e-9, None
+    for f in columns:
         values = np.unique(x[:, f])
         for cut in (values[1:] + values[:-1]) / 2:
             low = x[:, f] <= cut
             n = int(low.sum())
             if least <= n <= len(y) - least:
                 p, q = y[low].mean(), y[~low].mean()
-                gain = whole - p * (1 - p) * n - q * (1 - q) * (len(y) - n)
-                if gain > best[0] + 1e-12:
-                    best = (gain, f, float(cut))
-    if best[1] < 0:
-        return (bool(share >= 0.5),)
-    low = x[:, best[1]] <= best[2]
-    return best[1], best[2], grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
+                gain = share * (1 - share) * len(y) - p * (1 - p) * n - q * (1 - q) * (len(y) - n)
+                if gain > most + 1e-12:
+                    most, best = gain, (f, float(cut))
+    return best
 
 
 def decide(tree: tuple, x: np.ndarray) -> np.ndarray:
