@@ -38,17 +38,46 @@ def test_near_dedup_links_by_five_words(spark):
     assert len(kept) < 110 and {200, 201} <= kept
 
 
-def test_a_band_of_many_texts(spark):
-    """Two families that are not alike meet in one band: the first text isn't like the second family, which still loses its copies."""
+@pytest.mark.parametrize("block", [resemblance.BLOCK, 4_000])
+def test_a_band_of_many_texts(spark, block):
+    """Families that are not alike meet in one band; each is connected and none is linked to another, in one block or in many."""
     rng = random.Random(7)
-    one, two = prose(rng, 200), prose(rng, 200)
-    rows = [(i, edited(rng, one if i % 2 else two, 1)) for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    distinct = spark.createDataFrame([(resemblance.node(t), (False, i, 0, 0), [1]) for i, t in rows], "node long, best struct<no_id: boolean, doc_id: long, copy: long, node: long>, bands array<long>")
-    number = {resemblance.node(t): i for i, t in rows}
-    found = {(number[r.a], number[r.b]) for r in resemblance.links(docs, distinct).collect()}
-    assert all(a < b and a % 2 == b % 2 for a, b in found)
-    assert {b for _, b in found} == set(range(2, 40))
+    families = [prose(rng, 200) for _ in range(3)]
+    texts = {i: edited(rng, families[i % 3], rng.randrange(1, 6)) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    distinct = spark.createDataFrame([(resemblance.node(t), [1], len(resemblance.shingles(t))) for t in texts.values()], "node long, bands array<long>, size long")
+    number = {resemblance.node(t): i for i, t in texts.items()}
+    label = {i: i for i in texts}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for r in resemblance.links(docs, distinct, block=block).collect():
+        a, b = number[r.a], number[r.b]
+        assert jaccard(texts[a], texts[b]) >= resemblance.SIMILARITY
+        label[root(a)] = root(b)
+    for a in texts:
+        for b in range(a):
+            if jaccard(texts[a], texts[b]) >= resemblance.SIMILARITY:
+                assert root(a) == root(b)
+
+
+def test_similar_sets():
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 40, 100, np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(100) > rng.choice([0.02, 0.1, 0.3])], rng.integers(0, 1 << 40, rng.integers(1, 15), np.uint64)]) for _ in range(150)]
+    alike = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8
+    for side in (None, rng.integers(0, 2, 150)):
+        label = list(range(150))
+        for a, b in resemblance.similar(sets, 0.8, side):
+            assert alike(sets[a], sets[b]) and label[a] != label[b]
+            label = [label[b] if x == label[a] else x for x in label]
+        for a in range(150):
+            for b in range(a):
+                if (side is None or side[a] != side[b]) and alike(sets[a], sets[b]):
+                    assert label[a] == label[b]
 
 
 def test_shingles_and_nodes():
@@ -86,12 +115,17 @@ def test_bounds_are_of_all_trusted_documents(spark):
     assert {"en", "fr"} < set(found.bounds)
     is_aside = {r.doc_id for r in docs.where(f"pmod(xxhash64(text), {kneser_ney.MEASURED_IN}) = 0").collect()}
     x = {r.doc_id: np.log10(r.perplexity) for r in kneser_ney.classify(docs, found).collect()}
+    own = {}
     for odd, lang in enumerate(("fr", "en")):
-        own = [[x[i] for i in range(odd, 600, 2) if (i in is_aside) == side] for side in (False, True)]
-        low = min(np.quantile(v, kneser_ney.LOW) for v in own)
-        high = max(np.quantile(v, kneser_ney.HIGH) for v in own)
+        parts = [[x[i] for i in range(odd, 600, 2) if (i in is_aside) == side] for side in (False, True)]
+        low = min(np.quantile(v, kneser_ney.LOW) for v in parts)
+        high = max(np.quantile(v, kneser_ney.HIGH) for v in parts)
         more = max(kneser_ney.SLACK, kneser_ney.WIDER * (high - low))
-        assert np.allclose(found.bounds[lang], (low - more, high + more), atol=2e-5)
+        own[lang] = low - more, high + more, len(parts[1])
+    widest = min(a for a, _, _ in own.values()), max(b for _, b, _ in own.values())
+    assert np.allclose(found.bounds[None], widest, atol=2e-5)
+    for lang, (a, b, n) in own.items():
+        assert np.allclose(found.bounds[lang], [(n * x + kneser_ney.FEW * w) / (n + kneser_ney.FEW) for x, w in zip((a, b), widest, strict=True)], atol=2e-5)
 
 
 LONG = f"data-state='{'x' * 500}' onclick='a.hidden = true; id = 1'"
