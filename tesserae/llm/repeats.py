@@ -41,13 +41,15 @@ def longest_repeats(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each position, the length of the longest substring from it that its text holds at another place too.
 
     tokens: ids of all texts' words, one text after the other. ends: for each position, where its text ends.
+    Ranks of each doubling are kept: 4 bytes a word and doubling, of which there are as many as the longest repeat has
+    binary digits. A text of 16 MB that is one repeat (some 3 million words, 22 doublings) takes 0.3 GB.
     """
     n = len(tokens)
     if not n:
         return np.zeros(0, np.int64)
     _, rank = np.unique(ends * (int(tokens.max()) + 1) + tokens, return_inverse=True)
     size = np.bincount(rank)
-    rank = (np.cumsum(size) - size)[rank]  # how many suffixes are smaller
+    rank = (np.cumsum(size) - size)[rank].astype(np.int32)  # how many suffixes are smaller
     levels, step = [rank], 1
     while True:
         tied = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
@@ -55,7 +57,7 @@ def longest_repeats(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
             break
         ahead = tied + step
         beyond = ahead >= ends[tied]
-        key = rank[tied] * (n + 1) + np.where(beyond, 0, rank[np.where(beyond, 0, ahead)] + 1)
+        key = rank[tied].astype(np.int64) * (n + 1) + np.where(beyond, 0, rank[np.where(beyond, 0, ahead)] + 1)
         order = np.argsort(key)
         tied, key = tied[order], key[order]
         group = rank[tied]

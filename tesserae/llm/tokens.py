@@ -3,7 +3,8 @@
 Most of a corpus is the same words again and again, and both tokenizers in use cut at a single space between
 two other characters, so a batch's distinct words are encoded once and whole texts are put together from them
 by array gathers. A text for which that cut is not certain is encoded as it is. The result is the tokenizer's
-own for the whole text.
+own for the whole text. Strings of special tokens in a text are ordinary text, as the vocabularies' description asks
+(encode_special_tokens): a document can't end itself or another.
 """
 
 from __future__ import annotations
@@ -139,10 +140,10 @@ def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
-def in_order(docs: DataFrame, rows_a_task: int | None = None) -> DataFrame:
-    """doc_id and text (null: empty), range-partitioned and sorted by doc_id; copies of an id by their text."""
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text (null: empty), range-partitioned and sorted by doc_id; copies of an id by their text, which may part them too."""
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    return rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
 
 def _encoded(path: str, end_id: int):

@@ -438,14 +438,38 @@ def test_kneser_ney(spark):
     assert not any(got[r[0]].kept for r in bad) and not got[2000].kept and not got[2001].kept and got[2002].kept and got[None].kept
     kept = kneser_ney.kept(docs, found)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in kneser_ney.classify(docs, found).collect())
-    joined = {r.doc_id: r.log_perplexity for r in kneser_ney.score_by_join(docs.where("doc_id < 20"), found.model).collect()}
+    fitted = docs.where(f"doc_id < 120 and pmod(xxhash64(text), {kneser_ney.MEASURED_IN}) <> 0").select("text")
+    tables = kneser_ney.fit(fitted)
+    joined = {r.doc_id: r.log_perplexity for r in kneser_ney.score_by_join(docs.where("doc_id < 20"), tables).collect()}
     assert all(math.isclose(10 ** joined[i], got[i].perplexity, rel_tol=1e-4) for i in range(20))
-    fitted = docs.where(f"doc_id < 120 and pmod(xxhash64(text), {kneser_ney.MEASURED_IN}) <> 0").collect()
-    naive = naive_kneser_ney([r.text for r in fitted], found.model)
-    text = good[130][1]
-    symbols = [1, 1, 1, *(int(found.model.symbols()[ord(c)]) for c in text), 1]
-    score = sum(math.log10(naive(tuple(symbols[i - 3 : i]), symbols[i])) for i in range(3, len(symbols)))
-    assert math.isclose(10 ** (-score / (len(text) + 1)), got[130].perplexity, rel_tol=1e-3)
+    naive = naive_kneser_ney([r.text for r in fitted.collect()], found.model)
+    for i in [130, 3, 1000, 2002]:
+        text = next(r[1] for r in good + bad + odd if r[0] == i)
+        assert math.isclose(naive_perplexity(naive, text, found.model), got[i].perplexity, rel_tol=1e-4)
+
+
+def naive_perplexity(naive, text, model):
+    edge = kneser_ney.EDGE
+    symbols = [edge, edge, edge, *(int(model.symbols()[ord(c)]) for c in text), edge]
+    return 10 ** (-sum(math.log10(naive(tuple(symbols[i - 3 : i]), symbols[i])) for i in range(3, len(symbols))) / (len(text) + 1))
+
+
+def test_kneser_ney_reads_any_script(spark):
+    """Beside a language of 60 common characters, texts in other scripts keep a perplexity that tells good from bad."""
+    rng = random.Random(14)
+    greek, cyrillic = "αβγδεζηθ", "абвгдежз"
+    latin = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(6)) for _ in range(40)) for _ in range(150)]
+    other = [" ".join("".join(rng.choice(letters[:4]) for _ in range(5)) for _ in range(20)) for letters in (greek, cyrillic) for _ in range(80)]
+    rows = [(i, t, "la" if i < 150 else "el" if i < 230 else "ru") for i, t in enumerate(latin + other)]
+    bad = [(1000, "".join(rng.choice(greek) + rng.choice("{}[]#") for _ in range(100)), "el"), (1001, "".join(rng.choice(cyrillic) + rng.choice("{}[]#") for _ in range(100)), "ru")]
+    docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
+    found = kneser_ney.train(docs, spark.createDataFrame([(i, 1, 0) for i in range(310)], "doc_id long, quality int, toxic int"))
+    symbols = found.model.symbols()
+    assert len({int(symbols[ord(c)]) for c in greek[:4]}) > 1 and 0 < min(symbols[:0x10FFFF]) and max(symbols) < kneser_ney.SYMBOLS
+    got = {r.doc_id: r for r in kneser_ney.classify(docs, found).collect()}
+    assert sum(got[i].kept for i in range(310)) >= 305 and not got[1000].kept and not got[1001].kept
+    naive = naive_kneser_ney([r.text for r in docs.where(f"doc_id < 1000 and pmod(xxhash64(text), {kneser_ney.MEASURED_IN}) <> 0").collect()], found.model)
+    assert math.isclose(naive_perplexity(naive, other[0], found.model), got[150].perplexity, rel_tol=1e-4)
 
 
 def naive_kneser_ney(all_texts, model):
@@ -453,7 +477,7 @@ def naive_kneser_ney(all_texts, model):
     table = model.symbols()
     counts = [None, *(Counter() for _ in range(4))]
     for t in all_texts:
-        s = [1, 1, 1, *(int(table[ord(c)]) for c in t), 1]
+        s = [kneser_ney.EDGE] * 3 + [int(table[ord(c)]) for c in t] + [kneser_ney.EDGE]
         counts[4].update(tuple(s[i - 3 : i + 1]) for i in range(3, len(s)))
     for order in (3, 2, 1):
         counts[order].update(g[1:] for g in counts[order + 1])
