@@ -8,11 +8,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae import __version__
-from tesserae.errors import InvalidArgument, NotFound
+from tesserae import __version__, schemas
+from tesserae.errors import InvalidArgument, NotFound, OutOfRange
 from tesserae.functions import codecs, fields, grid, samples
 from tesserae.operators import kernels, stats
 from tesserae.sources import datasource, tiff
+from tesserae.sources.ranged import Ranged, reachable
 
 MAX_TILE_STEP = 16
 
@@ -21,26 +22,39 @@ def version() -> str:
     return __version__
 
 
+def _raster(spark: SparkSession, path: str, kind: str, table: str) -> DataFrame:
+    datasource.register(spark)
+    return spark.read.format("raster").option("container", kind).option("table", table).load(path)
+
+
 def read_images(spark: SparkSession, path: str, kind: str = "tiff") -> DataFrame:
-    """The images table; http(s) URLs are read in ranges, all else by Spark's file systems."""
-    if path.startswith(("http://", "https://")):
-        datasource.register(spark)
-        return spark.read.format("raster").option("container", kind).load(path)
-    return datasource.images_of(spark, path, kind)
+    """The images table. Headers are read in ranges where tasks can open the path, else from whole files."""
+    return _raster(spark, path, kind, "images") if reachable(path) else datasource.images_of(spark, path, kind)
 
 
 def read_tiles(spark: SparkSession, path: str, kind: str = "tiff", image_index: int | None = None) -> DataFrame:
-    """The tiles table, in no order; order by image_index and linear_index for tile order."""
-    if path.startswith(("http://", "https://")):
-        datasource.register(spark)
-        rows = spark.read.format("raster").option("container", kind).option("table", "tiles").load(path)
-    else:
-        rows = datasource.tiles_of(spark, path, kind)
+    """The tiles table, in no order; order by image_index and linear_index for tile order. Filters by tile reach the reader."""
+    rows = _raster(spark, path, kind, "tiles") if reachable(path) else datasource.tiles_of(spark, path, kind)
     return rows if image_index is None else rows.where(F.col("image_index") == image_index)
 
 
 def read_pixels(spark: SparkSession, path: str, kind: str = "tiff") -> DataFrame:
-    return datasource.pixels(read_tiles(spark, path, kind), read_images(spark, path, kind))
+    return datasource.pixels(read_tiles(spark, path, kind))
+
+
+def image_bytes(spark: SparkSession, path: str, image_index: int = 0, kind: str = "tiff") -> bytes:
+    """All tiles of an image, one after the other in tile order, padding included: for images that fit the driver."""
+    return b"".join(bytes(r.data) for r in read_tiles(spark, path, kind, image_index).orderBy("linear_index").select("data").toLocalIterator())
+
+
+def size_bytes(path: str, token: str | None = None) -> int:
+    with Ranged(path, token) as f:
+        return f.size
+
+
+def backends() -> list[str]:
+    """Names of the data sources that are registered, and of the containers that they read."""
+    return [*datasource.registered(), *datasource.KINDS]
 
 
 def tile(spark: SparkSession, path: str, image_index: int, col: int, row: int, kind: str = "tiff"):
@@ -83,6 +97,21 @@ def thumbnail(pixels: DataFrame, images: DataFrame, width: int, height: int) ->
     return kernels.downsample_nearest(keyed.drop("path", "image_index"), sizes, width, height, "key").select("key.*", "channel", "ox", "oy", "value")
 
 
+def write_thumbnail(spark: SparkSession, path: str, target: str, width: int, height: int, kind: str = "tiff") -> None:
+    """Image 0 of a file, width by height, as a file of one tile."""
+    images = read_images(spark, path, kind).where("image_index = 0")
+    found = thumbnail(read_pixels(spark, path, kind).where("image_index = 0"), images, width, height)
+    samples_ = F.transform(F.array_sort(F.collect_list(F.struct("oy", "ox", "channel", "value"))), lambda s: s["value"])
+    whole = found.groupBy("path", "image_index").agg(samples_.alias("samples")).join(images.select("path", "image_index", "pixel_type", "channel_count"), ["path", "image_index"])
+    zero = F.lit(0).cast("bigint")
+    write(
+        whole.select(
+            F.lit(target).alias("path"), "image_index", F.lit(0).alias("level"), zero.alias("tile_col"), zero.alias("tile_row"), zero.alias("linear_index"), zero.alias("x"), zero.alias("y"),
+            F.lit(width).cast("bigint").alias("tile_w"), F.lit(height).cast("bigint").alias("tile_h"), "pixel_type", "channel_count", codecs.packed("samples", "pixel_type").alias("data"),
+        )
+    )
+
+
 def parse_size(text: str) -> tuple[int, int]:
     found = re.fullmatch(r"(\d+)[xX](\d+)", text.strip())
     if not found or not int(found[1]) or not int(found[2]):
@@ -106,14 +135,56 @@ def constant_image(spark: SparkSession, path: str, width: int, height: int, valu
 
 
 def write(tiles: DataFrame, **options: str) -> None:
-    """Files of tiles: options width, height, compression, predictor, namespace."""
+    """Files of tiles: options container, width, height, compression, predictor, namespace, fields."""
     datasource.write_tiles(tiles, **options)
 
 
 def copy(spark: SparkSession, path: str, target: str, **options: str) -> None:
+    """The same images under another folder, with their fields."""
     datasource.copy(read_tiles(spark, path), target, **options)
 
 
+class Sink:
+    """One image that is written tile by tile and becomes a file when it is closed. Tiles that never came are zero.
+
+    For images that fit the driver; larger ones are rows of a tiles table for write().
+    """
+
+    def __init__(self, spark: SparkSession, path: str, width: int, height: int, pixel_type: str = "UInt8", channels: int = 1, tile: int = 64, fields: dict[str, str] | None = None, **options: str):
+        self.spark, self.path, self.options = spark, path, options | ({"fields": json.dumps(fields)} if fields else {})
+        blank = constant_image(spark, path, width, height, 0, pixel_type, channels, tile).collect()
+        self.tiles = {(r.tile_col, r.tile_row): r.asDict() | {"data": bytes(r.data), "width": width, "height": height} for r in blank}
+        self.written: set[tuple[int, int]] = set()
+
+    def write_tile(self, col: int, row: int, data: bytes | str) -> None:
+        """data: the tile's samples, or their hexadecimal digits."""
+        if self.tiles is None:
+            raise InvalidArgument("the image is closed")
+        data = bytes.fromhex(data) if isinstance(data, str) else bytes(data)
+        held = self.tiles.get((col, row))
+        if held is None:
+            raise OutOfRange(f"tile {col}, {row}")
+        if len(data) != len(held["data"]):
+            raise InvalidArgument(f"a tile has {len(held['data'])} bytes")
+        held["data"] = data
+        self.written.add((col, row))
+
+    def fill(self, value: float) -> None:
+        """All tiles, of one value."""
+        for (col, row), held in list(self.tiles.items()):
+            self.write_tile(col, row, codecs.constant(value, held["tile_w"] * held["tile_h"] * held["channel_count"], held["pixel_type"]))
+
+    def info(self) -> dict[str, object]:
+        return {"path": self.path, "tiles": len(self.tiles or ()), "written": len(self.written), "open": self.tiles is not None, **self.options}
+
+    def close(self) -> None:
+        """Writes the file; what goes wrong is raised. A second call does nothing."""
+        if self.tiles is not None:
+            rows, self.tiles = list(self.tiles.values()), None
+            schema = self.spark.createDataFrame([], schemas.TILES).schema
+            write(self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema), **self.options)
+
+
 def describe(**options: object) -> str:
     """The image that options ask for, as JSON."""
     return json.dumps(options, sort_keys=True)

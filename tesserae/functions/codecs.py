@@ -226,6 +226,16 @@ def constant(value: float, samples: int, pixel_type: str) -> bytes:
     return np.full(samples, value if pixel_type.startswith("Float") else int(value)).astype(dtype(pixel_type)).tobytes()
 
 
+def packed(values: str, pixel_type: str):
+    """A column of samples (array) as bytes of the type that another column names. Values are cut to whole numbers for integer samples."""
+
+    @pandas_udf("binary")
+    def pack(samples: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else np.asarray(s, np.float64).astype(dtype(k)).tobytes() for s, k in zip(samples, kinds, strict=True)])
+
+    return pack(values, pixel_type)
+
+
 def read_unsigned(data: bytes, at: int, size: int, little: bool) -> int:
     return int.from_bytes(data[at : at + size], "little" if little else "big")
 

@@ -46,9 +46,9 @@ def to_pixels(files: DataFrame, key: str, kind: str = "tiff") -> DataFrame:
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 read = lambda at, n, d=data: d[at : at + n]
-                image = datasource.directories(read, kind, data)[0]
+                image = datasource.directories(read, kind)[0]
                 for number in range(image.cols * image.rows):
-                    row = datasource.tile_row("", 0, image, number, read, kind, data)
+                    row = datasource.tile_row("", 0, image, number, read, kind)
                     x0, y0, w, h, raw = row[6], row[7], row[8], row[9], row[14]
                     a = codecs.to_array(raw, h, w, image.channels, image.pixel_type)[: image.height - y0, : image.width - x0]
                     y, x, c = np.indices(a.shape)

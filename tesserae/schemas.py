@@ -12,7 +12,8 @@ IMAGES = (
 )
 TILES = (
     "path string, image_index int, level int, tile_col bigint, tile_row bigint, linear_index bigint, x bigint, y bigint, tile_w bigint, tile_h bigint,"
-    " pixel_type string, channel_count int, byte_offset bigint, byte_count bigint, data binary"
+    " pixel_type string, channel_count int, byte_offset bigint, byte_count bigint, data binary,"
+    " width bigint, height bigint, compression string, predictor int, fields map<string,string>"
 )
 ENTITIES = "scene_id bigint, entity_type string, entity_id bigint"
 RELATIONSHIPS = "scene_id bigint, ordinal bigint, src_type string, src_id bigint, kind string, dst_type string, dst_id bigint"

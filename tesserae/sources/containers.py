@@ -4,7 +4,7 @@ raw      a JSON document of fields (or a list of them), then the tiles
 pds4     u64 length, an XML label, then the tiles
 isis     a text label up to a line "End", then the tiles
 chunked  u64 length, a JSON header, then slots of equal size: u32 length and the compressed chunk
-exr      an OpenEXR scan-line file without compression; the whole image is one tile
+exr      an OpenEXR scan-line file, read as it is, by runs or by ZIP, written as it is; the whole image is one tile
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import struct
 import xml.etree.ElementTree as ET
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
@@ -29,7 +29,8 @@ CHUNK_TYPES = {"UInt8": "|u1", "UInt16": "<u2", "UInt32": "<u4", "Float32": "<f4
 CHUNK_CODECS = {"none": "None", "zstd": "Zstd", "zlib": "Zlib"}
 EXTRA_KEYS = ("tileWidth", "tileHeight", "predictor", "container")
 EXR_TYPES = {0: "UInt32", 2: "Float32"}
-EXR_ORDER = ("A", "B", "G", "R", "Y")
+EXR_COMPRESSIONS = {0: "None", 1: "RLE", 2: "ZIPS", 3: "ZIP"}
+EXR_LINES = {"None": 1, "RLE": 1, "ZIPS": 1, "ZIP": 16}  # in a block
 
 
 @dataclass
@@ -161,8 +162,9 @@ def parse_exr(data: bytes) -> list[Layout]:
         (size,) = struct.unpack_from("<i", data, at)
         attributes[name.decode()] = data[at + 4 : at + 4 + size]
         at += 4 + size
-    if attributes["compression"] != b"\0":
-        raise NotImplementedYet("compressed OpenEXR")
+    compression = EXR_COMPRESSIONS.get(attributes["compression"][0])
+    if compression is None:
+        raise NotImplementedYet("OpenEXR compression other than runs and ZIP")
     x0, y0, x1, y1 = struct.unpack("<4i", attributes["dataWindow"])
     names, kinds, rest = [], [], attributes["channels"]
     while rest[:1] not in (b"", b"\0"):
@@ -173,8 +175,8 @@ def parse_exr(data: bytes) -> list[Layout]:
     if len(set(kinds)) != 1 or kinds[0] not in EXR_TYPES:
         raise InvalidArgument("OpenEXR channel types")
     w, h = x1 - x0 + 1, y1 - y0 + 1
-    fields = {"imageWidth": str(w), "imageHeight": str(h), "samplesPerPixel": str(len(names)), "pixelType": EXR_TYPES[kinds[0]], "channels": ",".join(names)}
-    return [Layout(fields, w, h, len(names), EXR_TYPES[kinds[0]], w, h, at + 1 + 8 * h)]
+    fields = {"imageWidth": str(w), "imageHeight": str(h), "samplesPerPixel": str(len(names)), "pixelType": EXR_TYPES[kinds[0]], "channels": ",".join(names), "compression": compression}
+    return [Layout(fields, w, h, len(names), EXR_TYPES[kinds[0]], w, h, at + 1, compression)]
 
 
 PARSERS = {"raw": parse_raw, "pds4": parse_pds4, "isis": parse_isis, "chunked": parse_chunked, "exr": parse_exr}
@@ -192,25 +194,81 @@ def _channel_order(names: list[str]) -> list[int]:
     return [names.index(c) for c in wanted]
 
 
-def tile(kind: str, data: bytes, image: Layout, col: int, row: int) -> bytes:
-    """A tile's samples, interleaved."""
+def tile(kind: str, read: Callable[[int, int], bytes], image: Layout, col: int, row: int) -> bytes:
+    """A tile's samples, interleaved; only its bytes are read."""
     if not (0 <= col < image.cols and 0 <= row < image.rows):
         raise OutOfRange("tile index")
     if kind == "exr":
-        stride = 8 + image.width * image.channels * 4
-        lines = np.frombuffer(data, np.uint8, image.height * stride, image.start).reshape(image.height, stride)[:, 8:]
-        planes = np.ascontiguousarray(lines).view("<u4").reshape(image.height, image.channels, image.width)
-        return planes[:, _channel_order(image.fields["channels"].split(","))].transpose(0, 2, 1).tobytes()
+        return _exr_pixels(read, image)
     at = image.start + (row * image.cols + col) * (image.slot or image.tile_bytes)
     if image.slot:
-        (size,) = struct.unpack_from("<I", data, at)
-        return codecs.DECODERS[image.compression](data[at + 4 : at + 4 + size], image.tile_bytes)
-    out = data[at : at + image.tile_bytes]
+        (size,) = struct.unpack("<I", read(at, 4))
+        return codecs.DECODERS[image.compression](read(at + 4, size), image.tile_bytes)
+    out = read(at, image.tile_bytes)
     if len(out) != image.tile_bytes:
         raise InvalidArgument("tile outside the file")
     return out
 
 
+def _exr_pixels(read: Callable[[int, int], bytes], image: Layout) -> bytes:
+    """Blocks of one or more lines, found by the offset table; a line holds its channels one after the other."""
+    stride, lines = image.width * image.channels * 4, EXR_LINES[image.compression]
+    blocks = -(-image.height // lines)
+    offsets = struct.unpack(f"<{blocks}Q", read(image.start, 8 * blocks))
+    out = []
+    for i, at in enumerate(offsets):
+        _, size = struct.unpack("<ii", read(at, 8))
+        data, whole = read(at + 8, size), min(lines, image.height - i * lines) * stride
+        if len(data) != size:
+            raise InvalidArgument("OpenEXR block outside the file")
+        # A block that does not shrink is stored as it is.
+        out.append(data if size == whole else _exr_unpack(image.compression, data, whole))
+    planes = np.frombuffer(b"".join(out), "<u4").reshape(image.height, image.channels, image.width)
+    return planes[:, _channel_order(image.fields["channels"].split(","))].transpose(0, 2, 1).tobytes()
+
+
+def _exr_unpack(compression: str, data: bytes, size: int) -> bytes:
+    """Bytes of even and of odd places lie apart, as differences to the byte before plus 128."""
+    raw = np.frombuffer(_exr_runs(data, size) if compression == "RLE" else codecs.DECODERS["Zlib"](data, size), np.uint8)
+    if len(raw) != size:
+        raise InvalidArgument("OpenEXR block of another size")
+    whole = (np.cumsum(raw.astype(np.int64)) - 128 * np.arange(size)).astype(np.uint8)
+    out = np.empty(size, np.uint8)
+    out[0::2], out[1::2] = whole[: (size + 1) // 2], whole[(size + 1) // 2 :]
+    return out.tobytes()
+
+
+def _exr_runs(data: bytes, size: int) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(data):
+        (n,) = struct.unpack_from("b", data, at)
+        if n < 0:
+            out += data[at + 1 : at + 1 - n]
+            at += 1 - n
+        else:
+            out += data[at + 1 : at + 2] * (n + 1)
+            at += 2
+    if len(out) != size:
+        raise InvalidArgument("OpenEXR runs of another size")
+    return bytes(out)
+
+
+def exr_bytes(image: Layout) -> int:
+    """All samples of an image; more than 2 ** 63 is an error."""
+    n = image.width * image.height * image.channels * 4
+    if n >= 1 << 63:
+        raise InvalidArgument("OpenEXR image too large")
+    return n
+
+
+def fields_of(image) -> dict[str, str]:
+    """The fields that a label needs, of an image with sizes; its own fields stay where a label can hold them."""
+    return {k: v for k, v in image.fields.items() if k.isidentifier()} | {
+        "imageWidth": str(image.width), "imageHeight": str(image.height), "samplesPerPixel": str(image.channels), "pixelType": image.pixel_type,
+        "tileWidth": str(image.tile_w), "tileHeight": str(image.tile_h), "compression": image.compression,
+    }
+
+
 def write(kind: str, fields: dict[str, str], tiles: Iterable[bytes]) -> bytes:
     """A file of one image; tiles are samples in row-major order of tiles."""
     image = layout(fields, 0)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae import api
 from tesserae.errors import InvalidArgument, NotFound, NotImplementedYet, OutOfRange
 from tesserae.functions import canonical, codecs, payload, samples
 from tesserae.sources import containers, datasource, tiff
@@ -113,11 +114,41 @@ def test_containers(kind, channels):
     data = containers.write(kind, fields, tiles)
     (image,) = containers.parse(kind, data)
     assert (image.width, image.height, image.channels, image.pixel_type) == (20, 12, channels, "Float32")
-    assert [containers.tile(kind, data, image, i % image.cols, i // image.cols) for i in range(len(tiles))] == tiles
+    assert [containers.tile(kind, lambda at, n: data[at : at + n], image, i % image.cols, i // image.cols) for i in range(len(tiles))] == tiles
     with pytest.raises(InvalidArgument):
         containers.parse(kind, b"\0" * 7)
 
 
+@pytest.mark.parametrize("compression", ["RLE", "ZIPS", "ZIP"])
+def test_compressed_openexr(compression):
+    """Blocks packed as the format says: bytes of even and odd places apart, differences plus 128, then runs or zlib."""
+    import zlib
+
+    fields = {"imageWidth": "20", "imageHeight": "37", "samplesPerPixel": "3", "pixelType": "Float32"}
+    data = noise(20 * 37 * 12, 3)
+    plain = containers.write("exr", fields, [data])
+    code, lines = {"RLE": (1, 1), "ZIPS": (2, 1), "ZIP": (3, 16)}[compression]
+    head, n = plain[: -(37 * (8 + 240) + 37 * 8)], -(-37 // lines)
+    head = head.replace(b"compression\0compression\0\1\0\0\0\0", b"compression\0compression\0\1\0\0\0" + bytes([code]))
+    rows = [plain[len(plain) - 37 * 248 + y * 248 + 8 :][:240] for y in range(37)]
+    blocks = []
+    for at in range(0, 37, lines):
+        raw = b"".join(rows[at : at + lines])
+        split = raw[0::2] + raw[1::2]
+        delta = bytes([split[0], *((split[i] - split[i - 1] + 128) % 256 for i in range(1, len(split)))])
+        packed = zlib.compress(delta) if code > 1 else b"".join(struct.pack("b", -len(delta[i : i + 100])) + delta[i : i + 100] for i in range(0, len(delta), 100))
+        blocks.append((at, packed if len(packed) < len(raw) else raw))
+    offsets, place = [], len(head) + 8 * n
+    for _, b in blocks:
+        offsets.append(place)
+        place += 8 + len(b)
+    whole = head + struct.pack(f"<{n}Q", *offsets) + b"".join(struct.pack("<ii", y, len(b)) + b for y, b in blocks)
+    read = lambda at, k: whole[at : at + k]
+    (image,) = containers.parse("exr", whole)
+    assert image.compression == compression and containers.exr_bytes(image) == len(data)
+    assert containers.tile("exr", read, image, 0, 0) == data
+
+
 def test_canonical_json():
     cases = {0.0: "0", -0.0: "0", 1.0: "1", 1e21: "1e+21", 1e20: "100000000000000000000", 1e-6: "0.000001", 1e-7: "1e-7", 123.456: "123.456", 5e-324: "5e-324", 1.7976931348623157e308: "1.7976931348623157e+308", -2.5e-10: "-2.5e-10", 333333333.3333333: "333333333.3333333"}
     for x, s in cases.items():
@@ -143,22 +174,106 @@ def test_source_and_pushdown(spark, tmp_path):
     tags = spark.read.format("raster").option("table", "tags").load(path)
     assert {int(r["values"][0]) for r in tags.where("tag = 256").collect()} == {50}
     assert sorted(map(str, datasource.images_of(spark, path).drop("path").collect())) == sorted(map(str, images.drop("path").collect()))
-    pixels = datasource.pixels(datasource.tiles_of(spark, path), datasource.images_of(spark, path))
-    assert pixels.count() == 2 * 50 * 37
+    for held in (datasource.tiles_of(spark, path), api.read_tiles(spark, path)):
+        assert datasource.pixels(held).count() == 2 * 50 * 37
+    pixels = api.read_pixels(spark, path)
     first = np.frombuffer(tiles[0][0], np.uint8).reshape(16, 16)
     assert pixels.where("image_index = 0 and x = 5 and y = 9").first().value == first[9, 5]
 
 
+def test_planning_opens_no_file_and_a_tile_reads_only_its_bytes(spark, tmp_path, monkeypatch):
+    images = [tiff.Image(512, 512, "UInt8", 1, 64, 64)]
+    (tmp_path / "a.tif").write_bytes(tiff.write(images, [[noise(4096, i) for i in range(64)]]))
+    reader = datasource.RasterReader({"path": str(tmp_path / "a.tif"), "table": "tiles", "partition_bytes": "65536"})
+    opened, read = [], []
+    monkeypatch.setattr(datasource.RasterReader, "_open", lambda self, path: opened.append(path) or Ranged(path))
+    parts = reader.partitions()
+    assert not opened and len(parts) == 5
+    assert sorted(r[5] for p in parts for r in reader.read(p)) == list(range(64))
+    from pyspark.sql.datasource import EqualTo
+
+    list(reader.pushFilters([EqualTo(("tile_col",), 3), EqualTo(("tile_row",), 2)]))
+    (part,) = reader.partitions()
+    own = Ranged.read
+    monkeypatch.setattr(Ranged, "read", lambda self, at, n: read.append(n) or own(self, at, n))
+    (row,) = reader.read(part)
+    assert row[5] == 19 and bytes(row[14]) == noise(4096, 19)
+    assert sum(read) < 4096 + 2048
+
+
+@pytest.mark.parametrize("kind", ["raw", "pds4", "isis", "chunked", "exr"])
+def test_sinks_of_all_containers(spark, tmp_path, kind):
+    size = 32 if kind == "exr" else 16
+    sink = api.Sink(spark, str(tmp_path / "a.img"), 32, 32, "Float32", 1, size, container=kind)
+    tiles = {(c, r): noise(size * size * 4, c * 7 + r) for c in range(32 // size) for r in range(32 // size)}
+    for (c, r), data in tiles.items():
+        sink.write_tile(c, r, data)
+    sink.close()
+    got = api.read_tiles(spark, str(tmp_path / "a.img"), kind).collect()
+    assert {(r.tile_col, r.tile_row): bytes(r.data) for r in got} == tiles
+
+
+def test_interactive_sink(spark, tmp_path):
+    path = str(tmp_path / "a.tif")
+    sink = api.Sink(spark, path, 40, 20, tile=16, fields={"image.spice.frame": "IAU_MARS"}, compression="LZW")
+    sink.fill(7.9)
+    sink.write_tile(1, 0, "0a" * 256)
+    with pytest.raises(OutOfRange):
+        sink.write_tile(3, 0, b"")
+    with pytest.raises(InvalidArgument):
+        sink.write_tile(0, 0, b"short")
+    assert sink.info()["tiles"] == 6 and sink.info()["open"]
+    sink.close()
+    sink.close()
+    assert not sink.info()["open"]
+    assert api.tile(spark, path, 0, 1, 0).tolist() == [[[10]] * 16] * 16 and api.tile(spark, path, 0, 0, 1)[0, 0, 0] == 7
+    assert len(api.image_bytes(spark, path)) == 6 * 256
+    image = api.read_images(spark, path).first()
+    assert (image.width, image.height, image.compression, image.fields) == (40, 20, "LZW", {"image.spice.frame": "IAU_MARS"})
+    assert api.size_bytes(path) == (tmp_path / "a.tif").stat().st_size
+    api.write_thumbnail(spark, path, str(tmp_path / "small.tif"), 4, 2)
+    assert api.tile(spark, str(tmp_path / "small.tif"), 0, 0, 0)[:, :, 0].tolist() == [[7, 7 if 10 < 16 else 10, 10, 10 if 30 < 32 else 7], [7, 7, 10, 10]]
+
+
+def test_failed_task_leaves_no_file(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    rows = api.constant_image(spark, str(tmp_path / "out" / "a.tif"), 40, 20, 1, tile=16).withColumn("data", F.expr("if(linear_index = 4, substr(data, 1, 3), data)"))
+    good = api.constant_image(spark, str(tmp_path / "out" / "b.tif"), 40, 20, 1, tile=16)
+    with pytest.raises(Exception, match="tile size"):
+        api.write(good.unionByName(rows))
+    assert not list((tmp_path / "out").iterdir())
+    writer = datasource.RasterWriter({})
+    messages = [writer.write(iter(good.collect())), writer.write(iter(good.collect()))]
+    assert len(list((tmp_path / "out").iterdir())) == 2
+    writer.abort(messages)
+    assert not list((tmp_path / "out").iterdir())
+
+
 def test_sink_and_copy(spark, tmp_path):
-    _, tiles, data = image_file(n=1)
+    _, tiles, data = image_file(n=2)
     (tmp_path / "a.tif").write_bytes(data)
     (tmp_path / "out").mkdir()
-    rows = datasource.tiles_of(spark, str(tmp_path / "a.tif"))
-    datasource.copy(rows, str(tmp_path / "out"), compression="Deflate", width="50", height="37")
+    api.copy(spark, str(tmp_path / "a.tif"), str(tmp_path / "out"), compression="Deflate")
     again = (tmp_path / "out" / "a.tif").read_bytes()
-    (image,) = tiff.images(lambda at, n: again[at : at + n])
-    assert (image.width, image.height, image.compression) == (50, 37, "Deflate")
-    assert [tiff.read_tile(lambda at, n: again[at : at + n], image, i % 4, i // 4) for i in range(12)] == tiles[0]
+    images = tiff.images(lambda at, n: again[at : at + n])
+    assert [(i.width, i.height, i.compression, i.predictor, i.fields) for i in images] == [(50, 37, "Deflate", 2, {"image.spice.frame": "IAU_MOON"})] * 2
+    for image, own in zip(images, tiles, strict=True):
+        assert [tiff.read_tile(lambda at, n: again[at : at + n], image, i % 4, i // 4) for i in range(12)] == own
+
+
+def test_offsets_of_streams_go_by_time(tmp_path):
+    import os
+
+    stream = datasource.RasterStream({"path": str(tmp_path / "*.tif")})
+    assert stream.latestOffset() == stream.initialOffset()
+    seen, start = [], stream.initialOffset()
+    for at, name in enumerate(["m.tif", "b.tif", "z.tif", "a.tif"]):
+        (tmp_path / name).write_bytes(b"")
+        os.utime(tmp_path / name, ns=(at * 10**9, at * 10**9 + 1))
+        end = stream.latestOffset()
+        seen += [p.path.rsplit("/", 1)[1] for p in stream.partitions(start, end)]
+        start = end
+    assert seen == ["m.tif", "b.tif", "z.tif", "a.tif"]
 
 
 def test_stream_of_new_files(spark, tmp_path):
