@@ -95,7 +95,7 @@ class Texts:
 
     def hashes(self) -> np.ndarray:
         """Of the whole sequence with ends; a word's hash depends on nothing but its letters."""
-        own = pd.util.hash_array(self.words.to_numpy(zero_copy_only=False), categorize=False) if len(self.words) else np.zeros(0, np.uint64)
+        own = pd.util.hash_array(self.words.cast(pa.large_binary()).to_numpy(zero_copy_only=False), categorize=False) if len(self.words) else np.zeros(0, np.uint64)
         return self._placed(own, END_HASH)
 
     def _placed(self, of_words: np.ndarray, of_end: int) -> np.ndarray:
@@ -205,9 +205,10 @@ def vocabulary(counts: DataFrame, most: int = COMMON) -> Vocabulary:
     ends = counts.where(F.col("token") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     common = counts.where((F.col("token") != END) & (F.octet_length("token") <= LONGEST) & (F.col("c") >= LEAST))
     top = common.orderBy(F.desc("c"), "token").limit(most).toArrow().combine_chunks()
-    words, c = top.column("token").to_pylist(), top.column("c").to_numpy().astype(np.int64)
+    c = top.column("c").to_numpy().astype(np.int64)
+    words = top.column("token").combine_chunks().cast(pa.large_string()) if len(c) else pa.array([], pa.large_string())
     at = int(np.searchsorted(-c, -ends))
-    return Vocabulary(pa.array([*words[:at], END, *words[at:]], pa.large_string()), np.insert(c, at, ends), tokens, kinds)
+    return Vocabulary(pa.concat_arrays([words.slice(0, at), pa.array([END], pa.large_string()), words.slice(at)]), np.insert(c, at, ends), tokens, kinds)
 
 
 def _gradient_part(training: DataFrame, shared: Broadcast, expected: bool) -> list[np.ndarray]:

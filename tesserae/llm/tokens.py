@@ -121,13 +121,19 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(batch: pa.RecordBatch, text: int, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about so many bytes of text; a row is never cut."""
+    """Slices of a batch of about so many bytes of text; a row is never cut.
+
+    A slice is copied: some string kernels (ascii_lower is one) misread arrays that begin inside their buffers.
+    """
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
     group = np.cumsum(sizes) // size
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(sizes)]])
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if b > a:
-            yield batch.slice(a, b - a)
+        if a == 0 and b == len(batch):
+            yield batch
+        elif b > a:
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c, c.slice(0, 0)]) for c in part.columns], schema=batch.schema)
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:

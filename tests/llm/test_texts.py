@@ -269,6 +269,23 @@ def test_unigram_pieces_are_the_best_sum():
         assert math.isclose(sum(own.unknown_score if i < 0 else own.scores[i] for i in found), best[-1])
 
 
+def test_pieces_of_a_batch_hold_the_same_words():
+    """Parts of a batch are arrays of their own, as string kernels misread arrays that begin inside their buffers."""
+    rows = [t for t in texts() for _ in range(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.string())], ["doc_id", "text"])
+    for size in (200, 5_000, 1 << 20):
+        at = 0
+        for part in tokens.pieces(batch, 1, size):
+            assert part.column(0).to_pylist() == list(range(at, at + len(part)))
+            found = maxent.Texts.of(part.column(1))
+            got = [found.words[i].as_py() for i in found.index.tolist()]
+            assert got == [w for t in rows[at : at + len(part)] for w in words(lower(t))]
+            measured = repeats.measures(part.column(1), 8, 3)
+            assert measured["n_words"].tolist() == [len(words(t)) for t in rows[at : at + len(part)]]
+            at += len(part)
+        assert at == len(rows)
+
+
 def test_maxent_base(spark):
     rows, df = documents(spark)
     got = maxent.score(df, rounds=1, most=50).collect()
