@@ -1,4 +1,4 @@
-"""Tile codecs and predictors on bytes, for use in Arrow batches: LZW, PackBits, Deflate, Zstandard, horizontal differences."""
+"""Tile codecs and predictors on bytes, for use in Arrow batches: LZW, PackBits, Deflate, Zstandard, JPEG, horizontal differences."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ import pandas as pd
 import zstandard
 from pyspark.sql.functions import pandas_udf
 
-from tesserae.errors import InvalidArgument, NotImplementedYet
+from tesserae.errors import InvalidArgument
+from tesserae.functions import jpeg
 from tesserae.functions.samples import dtype
 
 _CLEAR, _END, _FIRST, _FULL = 256, 257, 258, 4094  # fixed values of the TIFF variant
@@ -173,12 +174,8 @@ def _as_is(data: bytes, size: int) -> bytes:
     return data
 
 
-def _no_jpeg(*_: object) -> bytes:
-    raise NotImplementedYet("JPEG tiles")
-
-
-ENCODERS = {"None": bytes, "LZW": lzw_encode, "PackBits": packbits_encode, "Deflate": zlib.compress, "Zlib": lambda d: zlib.compress(d, 6), "Zstd": lambda d: zstandard.ZstdCompressor(level=3).compress(d), "Jpeg": _no_jpeg}
-DECODERS = {"None": _as_is, "LZW": lzw_decode, "PackBits": packbits_decode, "Deflate": _inflate, "Zlib": _inflate, "Zstd": _unzstd, "Jpeg": _no_jpeg}
+ENCODERS = {"None": bytes, "LZW": lzw_encode, "PackBits": packbits_encode, "Deflate": zlib.compress, "Zlib": lambda d: zlib.compress(d, 6), "Zstd": lambda d: zstandard.ZstdCompressor(level=3).compress(d)}
+DECODERS = {"None": _as_is, "LZW": lzw_decode, "PackBits": packbits_decode, "Deflate": _inflate, "Zlib": _inflate, "Zstd": _unzstd}
 
 
 def payload_bound(compression: str, size: int) -> int:
@@ -204,13 +201,23 @@ def unpredict(data: bytes, width: int, channels: int, pixel_type: str, little: b
     return np.cumsum(x, axis=1, dtype=kind.newbyteorder("=")).astype(kind).tobytes()
 
 
+def _jpeg_rows(predictor: int, pixel_type: str, size: int, width: int, channels: int) -> int:
+    if predictor == 2 or pixel_type != "UInt8":
+        raise InvalidArgument("JPEG tiles hold 8-bit samples without a predictor")
+    return size // (width * channels)
+
+
 def encode_tile(data: bytes, compression: str, predictor: int, width: int, channels: int, pixel_type: str, little: bool = True) -> bytes:
+    if compression == "Jpeg":
+        return jpeg.encode(data, width, _jpeg_rows(predictor, pixel_type, len(data), width, channels), channels)
     if compression not in ENCODERS:
         raise InvalidArgument(f"compression {compression}")
     return ENCODERS[compression](predict(data, width, channels, pixel_type, little) if predictor == 2 else data)
 
 
 def decode_tile(data: bytes, size: int, compression: str, predictor: int, width: int, channels: int, pixel_type: str, little: bool = True) -> bytes:
+    if compression == "Jpeg":
+        return jpeg.decode(data, width, _jpeg_rows(predictor, pixel_type, size, width, channels), channels)
     if compression not in DECODERS:
         raise InvalidArgument(f"compression {compression}")
     out = DECODERS[compression](data, size)

@@ -16,7 +16,7 @@ TYPED_DOMAINS = ("camera", "crs")
 BODIES = {"301": "Moon", "399": "Earth", "499": "Mars", "599": "Jupiter", "699": "Saturn", "799": "Uranus", "899": "Neptune"}
 FRAMES = ("J2000", "IAU_MOON", "IAU_EARTH", "spacecraft", "camera")
 PROJECTIONS = ("equirectangular", "stereographic", "sinusoidal", "orthographic")
-LENSES = ("pinhole", "brown_conrady", "fisheye", "rational")
+LENSES = ("pinhole", "fisheye", "pushbroom")
 
 
 def _error(code: str, message: str) -> Column:
@@ -54,6 +54,26 @@ def required(fields: Column, key: str) -> Column:
     return F.when(found.isNotNull(), found).otherwise(_error("NOT_FOUND", key))
 
 
+def parameter(parameters: Column, key: str) -> Column:
+    """A lens's, a projection's or a geometry's parameter; one that is absent raises NOT_FOUND."""
+    return F.when(F.map_contains_key(parameters, F.lit(key)), F.try_element_at(parameters, F.lit(key))).otherwise(_error("NOT_FOUND", key))
+
+
+def lens_kind(name: Column) -> Column:
+    """The known kind that a name stands for; unknown ones are pinholes."""
+    return F.when(name.isin(*LENSES), name).otherwise("pinhole")
+
+
+def crs_identifier() -> Column:
+    """Has never been defined."""
+    return _error("NOT_IMPLEMENTED", "identifier of a coordinate system").cast("string")
+
+
+def by_planet(crs: Column) -> list[Column]:
+    """To sort by: the name first, which alone decides; all else keeps equal names in a stable order."""
+    return [crs["planet"], crs["iau_id"], crs["frame"]]
+
+
 def in_order(fields: Column) -> Column:
     """Array of (key, value), ascending by key."""
     return F.array_sort(F.map_entries(fields))
@@ -91,7 +111,7 @@ def camera(fields: Column, namespace: str = NAMESPACE) -> Column:
         F.try_element_at(f, F.lit("model")).alias("model"), *(c.alias(n) for c, n in zip(inner, ("fx", "fy", "cx", "cy"), strict=True)),
         F.struct(*(c.alias(a) for c, a in zip(outer[:4], "wxyz", strict=True))).alias("rotation"), F.struct(*(c.alias(a) for c, a in zip(outer[4:], "xyz", strict=True))).alias("position"),
         F.coalesce(F.try_element_at(f, F.lit("timestamp")), F.lit("")).alias("timestamp"),
-        F.struct(F.when(kind.isin(*LENSES), kind).otherwise("pinhole").alias("kind"), lens.alias("parameters")).alias("lens"),
+        F.struct(lens_kind(kind).alias("kind"), lens.alias("parameters")).alias("lens"),
     )
     present = F.try_element_at(f, F.lit("model")).isNotNull()
     for n in ("focal_length_x", "focal_length_y", "principal_x", "principal_y"):

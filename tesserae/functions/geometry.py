@@ -237,6 +237,7 @@ def screw_axis(linear: Vec, angular: Vec) -> tuple[Vec, Vec, Column]:
 
 
 def screw_motion(linear: Vec, angular: Vec, theta: Column) -> Pose:
+    """act() moves points by it, invert() undoes it."""
     return exp(scale(linear, theta), scale(angular, theta))
 
 
@@ -250,6 +251,41 @@ def propagate_screw(p: Pose, linear: Vec, angular: Vec, dt: Column) -> Pose:
     return compose(screw_motion(linear, angular, dt), p)
 
 
+def screw(six: Column) -> tuple[Vec, Vec]:
+    """Linear and angular part of an array of six."""
+    at = lambda i: F.get(six, F.lit(i - 1))
+    return (at(1), at(2), at(3)), (at(4), at(5), at(6))
+
+
+def state(pose: Pose, linear: Vec | None = None, angular: Vec | None = None) -> Column:
+    """A struct of position, orientation and velocities; without a twist it is at rest. Frames are not part of it."""
+    rest = (F.lit(0.0),) * 3
+    return F.struct(vec_struct(pose[1]).alias("position"), quat_struct(pose[0]).alias("orientation"), vec_struct(linear or rest).alias("linear_velocity"), vec_struct(angular or rest).alias("angular_velocity"))
+
+
+def state_pose(s: Column) -> Pose:
+    return quat(s["orientation"]), vec(s["position"])
+
+
+def state_twist(s: Column) -> Column:
+    """An array of six: linear, then angular velocity."""
+    return F.array(*vec(s["linear_velocity"]), *vec(s["angular_velocity"]))
+
+
+def state_velocity_in(s: Column, pose: Pose) -> Column:
+    """The state with its velocities carried by a pose's adjoint; position and orientation stay."""
+    return state(state_pose(s), *transform_twist(pose, vec(s["linear_velocity"]), vec(s["angular_velocity"])))
+
+
+def pose_of_extrinsics(camera: Column) -> Pose:
+    """Of a typed camera."""
+    return quat(camera["rotation"]), vec(camera["position"])
+
+
+def with_extrinsics(camera: Column, pose: Pose) -> Column:
+    return camera.withField("rotation", quat_struct(pose[0])).withField("position", vec_struct(pose[1]))
+
+
 IDENTITY: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)
 
 

@@ -24,6 +24,18 @@ COMPRESSIONS = {"none": "None", "uncompressed": "None", "lzw": "LZW", "packbits"
 TIFF_COMPRESSIONS = {1: "None", 5: "LZW", 7: "Jpeg", 8: "Deflate", 32946: "Deflate", 32773: "PackBits"}
 
 
+# The codes of sample types in other programs' headers, and what unknown ones count as.
+CODES = {0: "UInt8", 1: "UInt16", 2: "UInt32", 3: "Float32", 4: "Float64", 5: "Int16", 6: "Int32"}
+
+
+def from_code(code: Column) -> Column:
+    return _choose(code, CODES, F.lit("UInt8"))
+
+
+def to_code(pixel_type: Column) -> Column:
+    return _choose(pixel_type, {v: k for k, v in CODES.items()}, F.lit(4))
+
+
 def _choose(value: Column, table: dict, otherwise: Column | None = None) -> Column:
     out = F.when(F.lit(False), F.lit(next(iter(table.values()))))
     for key, result in table.items():

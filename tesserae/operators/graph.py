@@ -14,6 +14,8 @@ RELATIONS = (("produces", "observation", "data-object"), ("derived-from", "data-
 ENTITY_TYPES = ("observation", "data-object", "product", "process-record")
 PROVENANCE_KINDS = ("used", "generated")
 AXES = ("x", "y", "band", "time", "polarization")
+# Names of entity types in messages.
+ENTITY_NAMES = {"observation": "Observation", "data-object": "DataObject", "product": "Product", "process-record": "ProcessRecord"}
 
 
 def allowed(kind: Column, src_type: Column, dst_type: Column) -> Column:
@@ -28,6 +30,28 @@ def with_ids(rows: DataFrame, order: str, keys: list[str], name: str = "id") ->
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
 
 
+def added(existing: DataFrame, rows: DataFrame, order: str, keys: list[str], name: str = "id") -> DataFrame:
+    """existing and rows, which get the next ids of their scene in input order. Each kind of entity is a table with ids of its own."""
+    last = existing.groupBy(*keys).agg((F.max(name) + 1).alias("_next"))
+    fresh = with_ids(rows, order, keys, name).join(last, keys, "left")
+    return existing.unionByName(fresh.withColumn(name, F.col(name) + F.coalesce("_next", F.lit(0))).drop("_next"))
+
+
+def by_id(entities: DataFrame, wanted: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
+    """wanted (keys, name) with the entity's columns; found is false where there is none: NOT_FOUND."""
+    return wanted.join(entities.withColumn("found", F.lit(True)), [*keys, name], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def at_place(entities: DataFrame, wanted: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
+    """Likewise by position (column place, from 0) in order of id; found is false beyond the end: OUT_OF_RANGE."""
+    placed = entities.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy(name)) - 1).cast("bigint"))
+    return by_id(placed, wanted.withColumn("place", F.col("place").cast("bigint")), keys, "place")
+
+
+def entity_name(kind: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in ENTITY_NAMES.items() for x in kv)), kind)
+
+
 def members(edges: DataFrame, entities: DataFrame, type_col: str, id_col: str, invert: bool = False) -> DataFrame:
     """edges whose end is an entity of its scene; or those whose end is not."""
     e = entities.select(F.col("scene_id"), F.col("entity_type").alias(type_col), F.col("entity_id").alias(id_col))

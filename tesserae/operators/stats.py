@@ -15,10 +15,15 @@ def tiled(pixels: DataFrame, tile_w: Column, tile_h: Column) -> DataFrame:
     return pixels.withColumn("_t", grid.tile_of(F.col("x"), F.col("y"), tile_w, tile_h)).withColumns({"tile_col": F.col("_t.tile_col"), "tile_row": F.col("_t.tile_row")}).drop("_t")
 
 
+def finite(value: Column) -> Column:
+    """False for null, NaN and infinite samples: they take no part in statistics."""
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+
+
 def channel_stats(pixels: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """min_value, max_value, mean_value, n by keys: one shuffle of partial aggregates. NaN samples take no part."""
+    """min_value, max_value, mean_value, n by keys, of finite samples: one shuffle of partial aggregates."""
     v = F.col(value).cast("double")
-    return pixels.where(~F.isnan(v)).groupBy(*keys).agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.avg(v).alias("mean_value"), F.count(v).alias("n"))
+    return pixels.where(finite(v)).groupBy(*keys).agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.avg(v).alias("mean_value"), F.count(v).alias("n"))
 
 
 def bin_of(value: Column, low: Column, high: Column, bins: int = BINS) -> Column:
@@ -32,19 +37,24 @@ def bin_label(b: Column, low: Column, high: Column, bins: int = BINS) -> Column:
 
 
 def histogram(pixels: DataFrame, keys: list[str], value: str = "value", bins: int = BINS) -> DataFrame:
-    """keys, bin, label, n. Ranges are aggregated first and joined back on the keys, so nothing is collected."""
-    ranges = pixels.groupBy(*keys).agg(F.min(F.col(value).cast("double")).alias("_lo"), F.max(F.col(value).cast("double")).alias("_hi"))
-    b = bin_of(F.col(value).cast("double"), F.col("_lo"), F.col("_hi"), bins)
-    counted = pixels.join(ranges, keys).withColumn("bin", b).groupBy(*keys, "bin", "_lo", "_hi").agg(F.count("*").alias("n"))
+    """keys, bin, label, n, of finite samples. Ranges are aggregated first and joined back on the keys, so nothing is collected."""
+    v = F.col(value).cast("double")
+    pixels = pixels.where(finite(v))
+    ranges = pixels.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    counted = pixels.join(ranges, keys).withColumn("bin", bin_of(v, F.col("_lo"), F.col("_hi"), bins)).groupBy(*keys, "bin", "_lo", "_hi").agg(F.count("*").alias("n"))
     return counted.withColumn("label", bin_label(F.col("bin"), F.col("_lo"), F.col("_hi"), bins)).drop("_lo", "_hi")
 
 
-def upper_median(values: Column) -> Column:
-    """The larger middle element for even counts."""
-    s = F.sort_array(values)
-    return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def array_histogram(tiles: DataFrame, keys: list[str], values: str, bins: int = BINS) -> DataFrame:
+    """The same where a row holds all samples of a tile (an array): its range is known there, so no join is needed."""
+    rows = tiles.select(*keys, F.filter(F.transform(values, lambda x: x.cast("double")), finite).alias("_v"))
+    rows = rows.withColumns({"_lo": F.array_min("_v"), "_hi": F.array_max("_v")})
+    binned = rows.select(*keys, "_lo", "_hi", F.explode("_v").alias("_x")).withColumn("bin", bin_of(F.col("_x"), F.col("_lo"), F.col("_hi"), bins))
+    counted = binned.groupBy(*keys, "bin", "_lo", "_hi").agg(F.count("*").alias("n"))
+    return counted.withColumn("label", bin_label(F.col("bin"), F.col("_lo"), F.col("_hi"), bins)).drop("_lo", "_hi")
 
 
 def timing_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """median_ms (upper), min_ms, max_ms of repeats."""
-    return rows.groupBy(*keys).agg(upper_median(F.collect_list(value)).alias("median_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"))
+    """median_ms (of even counts the larger middle one), min_ms, max_ms of repeats. State grows with distinct values, not with rows."""
+    middle = F.expr(f"percentile_disc({0.5 + 1e-10}) WITHIN GROUP (ORDER BY `{value}`)")
+    return rows.groupBy(*keys).agg(middle.alias("median_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"))

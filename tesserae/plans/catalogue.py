@@ -102,8 +102,10 @@ def tile_stats(spark, sf_dir):
     " CAST(trunc(lo + (hi - lo) * (bin + 0.5) / 64) AS BIGINT) AS label FROM p JOIN s USING (vec_id, tile_col) GROUP BY ALL"
 )
 def tile_histogram(spark, sf_dir):
-    rows = stats.tiled(views.pixels(spark, sf_dir), F.lit(16), F.lit(1))
-    return stats.histogram(rows, ["vec_id", "tile_col"])
+    """A tile is a slice of an embedding, so its range is known in its row."""
+    tiles = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.expr("(size(embedding) - 1) div 16"))).alias("tile_col"))
+    samples_ = F.slice("embedding", (F.col("tile_col") * 16 + 1).cast("int"), 16)
+    return stats.array_histogram(tiles.select("vec_id", F.col("tile_col").cast("bigint").alias("tile_col"), samples_.alias("samples")), ["vec_id", "tile_col"], "samples")
 
 
 @query(f"SELECT vec_id, min(value) AS min_value, max(value) AS max_value, round(avg(value), 9) AS mean_value, count(*) AS n FROM ({PIXELS}) WHERE x // 16 = 37 // 16 GROUP BY ALL")
@@ -149,12 +151,6 @@ def predictor_apply(spark, sf_dir):
     return kernels.predictor_apply(views.samples8(spark, sf_dir), ["vec_id"], "x", "q", 8).select("vec_id", "x", "q", "residual")
 
 
-@query(f"SELECT vec_id, x, q AS sample FROM ({SAMPLES8})")
-def predictor_undo(spark, sf_dir):
-    residuals = kernels.predictor_apply(views.samples8(spark, sf_dir), ["vec_id"], "x", "q", 8)
-    return kernels.predictor_undo(residuals, ["vec_id"], "x", "residual", 8).select("vec_id", "x", "sample")
-
-
 @query(
     f"SELECT p_partkey, CAST(8 + coalesce(sum(w * h * [1,2,2,4,4,4,8][p_size % 7 + 1]) OVER (PARTITION BY p_partkey % 10 ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM ({LAYOUTS})"
 )
@@ -552,12 +548,3 @@ def camera_roundtrip(spark, sf_dir):
     )
     rows = table(spark, sf_dir, "customer").select("c_custkey", fields.camera_fields(made).alias("f")).select("c_custkey", fields.camera(F.col("f")).alias("c"))
     return rows.select("c_custkey", "c.model", "c.fx", F.col("c.rotation.w").alias("qw"), "c.timestamp")
-
-
-@query("SELECT s_suppkey, round(s_acctbal / 1000 + 2.0 * 0.4 - 3.0 * 0.2, 9) + 0.0 AS vx, CAST(0.1 AS DOUBLE) AS wx, CAST(0.2 AS DOUBLE) AS wy, CAST(0.4 AS DOUBLE) AS wz FROM supplier")
-def twist_transform(spark, sf_dir):
-    """A twist carried by a shift: v + t x w, w."""
-    pose = (geometry.identity()[0], (F.lit(1.0), F.lit(2.0), F.lit(3.0)))
-    linear, angular = (F.col("s_acctbal") / 1000, F.lit(0.0), F.lit(0.0)), (F.lit(0.1), F.lit(0.2), F.lit(0.4))
-    (vx, _, _), (wx, wy, wz) = geometry.transform_twist(pose, linear, angular)
-    return _rounded(table(spark, sf_dir, "supplier").select("s_suppkey", vx.alias("vx"), wx.alias("wx"), wy.alias("wy"), wz.alias("wz")), "s_suppkey")

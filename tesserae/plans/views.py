@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +13,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see; it goes when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
+        base = tempfile.gettempdir()
+    path = f"{base.removeprefix('file://').removeprefix('file:').rstrip('/')}/tesserae-files-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    return path
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if it comes from so few and small files that most cores would idle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    few = len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < 4 * cores
+    few = df.rdd.getNumPartitions() < 4 * cores and len(df.inputFiles()) < cores  # files are listed only where they are few
     return df.repartition(cores) if few else df
 
 
