@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.plans.views import spread
+
 T = TypeVar("T")
 
 # Characters that separate words: space, and U+0009 to U+000D.
@@ -23,13 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, if it comes from so few and small files that most cores would idle; larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < 4 * cores
-    return df.repartition(cores) if few else df
-
-
 def bounded(df: DataFrame) -> DataFrame:
     """df, with this session's Arrow batches bounded by bytes, unless a bound has been set: ten thousand long texts must not meet in one.
 

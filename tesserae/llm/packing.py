@@ -149,7 +149,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, block: int = BLOCK, e
     end id), sequence_id, offset (in its sequence, without gaps).
 
     Every text is packed whole, in ascending doc_id order within a task's range of ids; a null text is empty and
-    gives its end id alone. Null and repeated ids are documents of their own. sequence_id is the task's number
+    gives its end id alone. Of sentence ends nearer than NEAREST tokens to each other the first is a place to cut at; the
+    cuts are the cheapest over these places, and every id lies in one piece. Null and repeated ids are documents of their own. sequence_id is the task's number
     times 2 to the power SEQUENCE_BITS plus a count, so tasks need not wait for each other. Other columns are not
     read; no rows give no rows.
     """

@@ -190,12 +190,3 @@ def near_duplicates(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     classes = skewed_join(placed, lowest, "root", F.col("fp"), n_distinct, "members").select("fp", "component_id", "n")
     hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return skewed_join(marks, classes, "fp", F.col("doc_id"), rows).select("doc_id", hex_digits.alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; all of its columns.
-
-    Rows with a null doc_id stay: nothing tells which of them to keep.
-    """
-    spared = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(spared, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti")

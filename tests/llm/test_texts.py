@@ -84,10 +84,88 @@ def test_near_duplicates(spark, hot_rows):
     got = simhash.near_duplicates(df, hot_rows)
     assert got.columns == ["doc_id", "fingerprint", "component_id"]
     assert Counter(map(tuple, got.collect())) == expected
-    kept = simhash.one_of_each(df)
-    assert kept.columns == df.columns
-    spared = {i for i, _, c in expected if i is not None and i != c}
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in rows if r[0] not in spared)
+
+
+def test_one_fingerprint_on_most_rows(spark):
+    """Nine tenths of the rows share a text, and near copies hang on it: no row is lost where hot keys are split."""
+    rng = random.Random(15)
+    base = prose(rng, 150)
+    texts = [base] * 900 + [base + f" tail{i}" for i in range(60)] + [prose(rng, 80) for _ in range(40)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    fps = [fingerprint(t) for _, t in rows]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    expected = Counter(zip((i for i, _ in rows), (f"{f:016x}" for f in fps), plain_components(fps, [i for i, _ in rows]), strict=True))
+    assert Counter(map(tuple, got.collect())) == expected
+
+
+def plain_components(fps, ids):
+    """As brute_components(), over distinct fingerprints."""
+    kinds = sorted(set(fps))
+    low = brute_components(kinds, [min(i for i, f in zip(ids, fps, strict=True) if f == k) for k in kinds])
+    return [low[kinds.index(f)] for f in fps]
+
+
+def test_skewed_join_is_a_join(spark):
+    from tesserae.llm.common import skewed_join
+
+    rows = spark.createDataFrame([(0 if i % 3 else i % 50, i) for i in range(5000)], "k long, x long")
+    lookup = rows.groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n").withColumn("y", rows.k * 10).where("k < 40")
+    twice = lookup.unionByName(lookup.withColumn("y", lookup.y + 1))
+    for table in (lookup, twice):
+        got = skewed_join(rows, table, "k", rows.x, 5000)
+        assert sorted(got.columns) == ["k", "x", "y"]
+        assert Counter(map(tuple, got.select("k", "x", "y").collect())) == Counter(map(tuple, rows.join(table.drop("n"), "k").select("k", "x", "y").collect()))
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, ties and clashing columns through all stages; then no rows at all."""
+    import corpus_pipeline
+
+    rows, df = documents(spark)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)] + [(None, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    held = df
+    found = kneser_ney.train(df, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    verdicts = Counter((r.doc_id, r.kept) for r in kneser_ney.classify(df, found).collect())
+    held = corpus_pipeline.quality_classifier(spark, held, str(tmp_path))
+    assert held.columns == df.columns
+    assert Counter(r.doc_id for r in held.collect()) == Counter({i: n for (i, kept), n in verdicts.items() if kept})
+    before = held.collect()
+    held = corpus_pipeline.quality_rules(spark, held, str(tmp_path))
+
+    def repetitive(text):
+        w = words(text)
+        longest = brute_repeats(w) if len(w) < 400 else None
+        if longest is None:
+            return None
+        covered = lambda least: len({p for at, n in enumerate(longest) if n >= least for p in range(at, at + n)})
+        most = max(longest, default=0)
+        failed = len(w) < 50 or 100 * covered(3) > 50 * len(w)
+        return failed or covered(repeats.MIN_WORDS) > repeats.MAX_COVERED * len(w) or most > repeats.MAX_REPEAT or most >= repeats.MIN_WORDS and most > repeats.MAX_REPEAT_SHARE * len(w)
+
+    after = Counter(map(str, held.collect()))
+    for r in before:
+        if repetitive(r.text) is not None:
+            assert (str(r) in after) == (not repetitive(r.text))
+    rest = held.collect()
+    held = corpus_pipeline.near_dedup(spark, held, str(tmp_path))
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [words(lower(t))] for i in range(max(1, len(w) - 4))}
+    alike = lambda a, b: len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))
+    label = list(range(len(rest)))
+    for i in range(len(rest)):
+        for j in range(i):
+            if label[i] != label[j] and alike(rest[i].text, rest[j].text):
+                label = [label[j] if x == label[i] else x for x in label]
+    kept = held.collect()
+    assert len(kept) == len(set(label))
+    first = {x: min((rest[i].doc_id is None, rest[i].doc_id or 0) for i in range(len(rest)) if label[i] == x) for x in set(label)}
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(first.values())
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted({str(r.doc_id) for r in got}) == sorted({str(r.doc_id) for r in kept})
+    for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / "empty" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
 
 
 def test_variants_find_all_links(spark):
