@@ -5,7 +5,7 @@ dealt to classes and slots of like shares of the text, so a common word has a sl
 share it by their counts; rare words and unseen ones are one class. Features are the word before, the word before
 that (a skip) and the two together, hashed from the words themselves, so any word is a context, however rare. Each
 training round every task adds up the gradient of its documents (counts seen less counts expected), the sums meet in
-two steps of bounded fan-in, and the driver takes one scaled step. The weights are a table of fixed size; words'
+two steps of bounded fan-in, and the driver takes one scaled step, held back by a ridge on the weights. The weights are a table of fixed size; words'
 counts grow with the corpus, and they stay in a table: the commonest are broadcast, the others are joined to each
 text's rare words.
 """
@@ -31,9 +31,10 @@ END = "\n"  # the token after a text's last word; no word holds a line break
 # So many words at most, of so many bytes each, are broadcast; words seen less often than LEAST are rare, and stand
 # for unseen ones. The end of a text is always among the common ones.
 COMMON, LONGEST, LEAST = 131_072, 64, 3
-CLASSES, SLOTS, FEATURES = 32, 32, 3
+CLASSES, SLOTS, FEATURES = 32, 16, 3
 BUCKETS, SLOT_BUCKETS = 4_096, 512  # hashed contexts of classes and of slots
-ROUNDS, SMOOTHING = 2, 4.0
+# Rounds after the first; counts added to what is expected; counts that a weight is held back by.
+ROUNDS, SMOOTHING, RIDGE = 1, 4.0, 20.0
 DISCOUNT, NEVER = 0.5, -30.0
 TOKENS_AT_ONCE = 32_768
 BLOCK = 16_384  # numbers in a row of summed gradients
@@ -247,6 +248,12 @@ def _shares(seen: np.ndarray, smallest: float = 1e-3) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
+def _stepped(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray, share: np.ndarray) -> np.ndarray:
+    gradient = seen - expected - RIDGE * share * weights
+    step = np.log1p(np.maximum(gradient / (expected + (SMOOTHING + RIDGE) * share), -0.9)) / FEATURES
+    return weights + step.astype(np.float32)
+
+
 def train(training: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
     """The first round starts from the shares of classes and slots, whose expected counts need no pass over the texts."""
     sc = training.sparkSession.sparkContext
@@ -266,8 +273,7 @@ def train(training: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) ->
             shared.unpersist()
             shared = sc.broadcast(model)
             expected = _gradient_part(training, shared, True)
-        steps = [np.log1p((s - e) / (e + SMOOTHING * share)) / FEATURES for s, e, share in zip(seen, expected, shares, strict=True)]
-        model = Model(vocabulary, model.bias, model.slot_bias, tuple(w + x.astype(np.float32) for w, x in zip(model.weights, steps, strict=True)))
+        model = Model(vocabulary, model.bias, model.slot_bias, tuple(map(_stepped, model.weights, seen, expected, shares)))
     shared.unpersist()
     return model
 

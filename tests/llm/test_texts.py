@@ -465,7 +465,9 @@ def plain_maxent(rows, rounds, most):
                     wanted[key] = wanted.get(key, 0) + share
         for key in seen:
             table, prior = (by_class, shares) if len(key) == 2 else (by_slot, slot_shares[key[2]])
-            table[key] = table.get(key, 0) + np.log1p((seen[key] - wanted[key]) / (wanted[key] + maxent.SMOOTHING * prior)) / 3
+            own = table.get(key, 0)
+            gradient = seen[key] - wanted[key] - maxent.RIDGE * prior * own
+            table[key] = own + np.log1p(np.maximum(gradient / (wanted[key] + (maxent.SMOOTHING + maxent.RIDGE) * prior), -0.9)) / 3
     rare = {w: c for w, c in counts.items() if w not in leaf}
     in_leaf = Counter()
     for w in common:
