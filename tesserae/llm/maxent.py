@@ -136,19 +136,35 @@ class Model:
     weights: tuple[np.ndarray, np.ndarray]
 
     def classes(self, hashed: np.ndarray) -> np.ndarray:
-        """Natural logarithms of class probabilities, tokens x CLASSES. hashed: as of contexts()."""
+        """Scores of classes before they are normalised, tokens x CLASSES. hashed: as of contexts()."""
         b = _buckets(hashed, BUCKETS)
-        return _normalised(self.bias + sum(self.weights[0][f][b[f]] for f in range(FEATURES)))
+        z = self.bias + self.weights[0][0][b[0]]
+        for f in range(1, FEATURES):
+            z += self.weights[0][f][b[f]]
+        return z
 
     def slots(self, hashed: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Likewise of slots in each token's own class, tokens x SLOTS."""
-        b = _buckets(hashed, SLOT_BUCKETS)
-        return _normalised(self.slot_bias[own] + sum(self.weights[1][f][b[f], own] for f in range(FEATURES)))
+        b = _buckets(hashed, SLOT_BUCKETS) * CLASSES + own
+        z = self.slot_bias[own]
+        for f in range(FEATURES):
+            z += self.weights[1][f].reshape(-1, SLOTS)[b[f]]
+        return z
 
 
-def _normalised(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _probabilities(z: np.ndarray) -> np.ndarray:
+    """Of scores, in their place."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _log_of(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the chosen outcomes' probabilities; z is used up."""
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), chosen].astype(np.float64)
+    return own - np.log(np.exp(z, out=z).sum(1))
 
 
 def _added(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -232,7 +248,7 @@ def _gradient_part(training: DataFrame, shared: Broadcast, expected: bool) -> li
                     own, slot = classes[number], slots[number]
                     by_class, by_slot = _buckets(part, BUCKETS) * CLASSES, (_buckets(part, SLOT_BUCKETS) * CLASSES + own) * SLOTS
                     if expected:
-                        p, q = np.exp(model.classes(part)).ravel(), np.exp(model.slots(part, own)).ravel()
+                        p, q = (_probabilities(z).ravel().astype(np.float64) for z in (model.classes(part), model.slots(part, own)))
                     for f in range(FEATURES):
                         for total, base, one, many, weights in ((totals[0][f], by_class[f], own, CLASSES, p if expected else None), (totals[1][f], by_slot[f], slot, SLOTS, q if expected else None)):
                             at_cell = base + one if weights is None else (base[:, None] + np.arange(many)).ravel()
@@ -303,8 +319,8 @@ def _local(docs: DataFrame, model: Model) -> DataFrame:
                 logs = np.empty(len(numbers))
                 for at in range(0, len(numbers), TOKENS_AT_ONCE):
                     part, number = hashed[:, at : at + TOKENS_AT_ONCE], numbers[at : at + TOKENS_AT_ONCE]
-                    own, each = classes[number], np.arange(len(number))
-                    logs[at : at + TOKENS_AT_ONCE] = model.classes(part)[each, own].astype(np.float64) + model.slots(part, own)[each, slots[number]]
+                    own = classes[number]
+                    logs[at : at + TOKENS_AT_ONCE] = _log_of(model.classes(part), own) + _log_of(model.slots(part, own), slots[number])
                 sums = lambda x: np.add.reduceat(np.asarray(x, np.float64), starts[:-1])  # noqa: E731  (no text is without its end)
                 rare = np.flatnonzero(kinds[t.index] == len(v.words))
                 pair, times = np.unique(t.owner[rare] * (len(t.words) + 1) + t.index[rare], return_counts=True)
