@@ -25,7 +25,7 @@ END_ID = 2
 # Words whose ids a worker remembers, the first that came twice in a batch; others are encoded again in each batch.
 REMEMBERED = 300_000
 WORDS_A_STRING = 256
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 10 << 20
 # White space beside a space, at either end, or any but plain ASCII space and line breaks: no certain cut.
 _UNCERTAIN = "  |[\\t\\n\\x0b\\f\\r] | [\\t\\n\\x0b\\f\\r]|\\A[\\t\\n\\x0b\\f\\r ]|[\\t\\n\\x0b\\f\\r ]\\z|[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -42,6 +42,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        # The id of a line break between words, if it has one of its own.
+        found = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("\n", "a\nb", "a\n b")]
+        self.separator = found[0][0] if len(found[0]) == 1 and all(x.count(found[0][0]) == 1 for x in found) else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -50,7 +53,49 @@ class Encoder:
         return out
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Many words in one string, a line break between any two; a token belongs to the word that it starts in."""
+        """Many words in one string, a line break between any two."""
+        if self.separator is None:
+            return self._by_offsets(words)
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if "\n" not in w]
+        rest = self._plain(words, plain, out)
+        # A word with line breaks inside is what lies between them: no white space stands beside a break.
+        broken = [(i, w.split("\n")) for i, w in enumerate(words) if "\n" in w]
+        rest += [i for i, parts in broken if not all(parts)]
+        parts = list({p for _, ps in broken if all(ps) for p in ps})
+        ids = [b""] * len(parts)
+        odd = {parts[i] for i in self._plain(parts, list(range(len(parts))), ids)}
+        of, line_break = dict(zip(parts, ids, strict=True)), np.array([self.separator], "<i4").tobytes()
+        for i, ps in broken:
+            if not all(ps):
+                continue
+            if odd.isdisjoint(ps):
+                out[i] = line_break.join(map(of.__getitem__, ps))
+            else:
+                rest.append(i)
+        for i, found in zip(rest, self._by_offsets([words[i] for i in rest]), strict=True):
+            out[i] = found
+        return out
+
+    def _plain(self, words: list[str], wanted: list[int], out: list[bytes]) -> list[int]:
+        """Sets the wanted places of out. Words hold no line break; those that one between them does not part are returned."""
+        left: list[int] = []
+        for at in range(0, len(wanted), WORDS_A_STRING * 32):
+            groups = [wanted[i : i + WORDS_A_STRING] for i in range(at, min(len(wanted), at + WORDS_A_STRING * 32), WORDS_A_STRING)]
+            found = self.tokenizer.encode_batch_fast(["\n".join([words[i] for i in g]) for g in groups], add_special_tokens=False)
+            for group, e in zip(groups, found, strict=True):
+                ids = np.array(e.ids, "<i4")
+                breaks = np.flatnonzero(ids == self.separator)
+                if len(breaks) != len(group) - 1:
+                    left += group
+                    continue
+                data, begins, ends = ids.tobytes(), [0, *(4 * breaks + 4).tolist()], [*(4 * breaks).tolist(), 4 * len(ids)]
+                for i, a, b in zip(group, begins, ends, strict=True):
+                    out[i] = data[a:b]
+        return left
+
+    def _by_offsets(self, words: list[str]) -> list[bytes]:
+        """The same by the places that tokens come from: a token belongs to the word that it starts in."""
         out: list[bytes] = []
         for at in range(0, len(words), WORDS_A_STRING * 32):
             groups = [words[i : i + WORDS_A_STRING] for i in range(at, min(len(words), at + WORDS_A_STRING * 32), WORDS_A_STRING)]
@@ -149,7 +194,8 @@ def crc32(ids: np.ndarray) -> int:
 def in_order(docs: DataFrame) -> DataFrame:
     """doc_id and text (null: empty), range-partitioned and sorted by doc_id; copies of an id by their text, which may part them too."""
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    return rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
 
 def _encoded(path: str, end_id: int):
