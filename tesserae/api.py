@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae import __version__, schemas
-from tesserae.errors import InvalidArgument, NotFound, OutOfRange
+from tesserae.errors import InvalidArgument, NotFound
 from tesserae.functions import codecs, fields, grid, samples
 from tesserae.operators import kernels, stats
 from tesserae.sources import datasource, tiff
@@ -119,12 +119,16 @@ def parse_size(text: str) -> tuple[int, int]:
     return int(found[1]), int(found[2])
 
 
-def constant_image(spark: SparkSession, path: str, width: int, height: int, value: float, pixel_type: str = "UInt8", channels: int = 1, tile: int = 64) -> DataFrame:
-    """Tiles of one value, ready for write()."""
+def _checked(tile: int, pixel_type: str, channels: int) -> None:
     if tile % MAX_TILE_STEP or tile < MAX_TILE_STEP:
         raise InvalidArgument(f"tiles are multiples of {MAX_TILE_STEP}")
     if pixel_type not in samples.TYPES or not 1 <= channels <= tiff.MAX_CHANNELS:
         raise InvalidArgument("sample type or channels")
+
+
+def constant_image(spark: SparkSession, path: str, width: int, height: int, value: float, pixel_type: str = "UInt8", channels: int = 1, tile: int = 64) -> DataFrame:
+    """Tiles of one value, ready for write()."""
+    _checked(tile, pixel_type, channels)
     t = F.lit(tile).cast("bigint")
     cells = spark.range(1).select(F.explode(grid.grid(F.lit(width).cast("bigint"), F.lit(height).cast("bigint"), t, t)).alias("g")).select("g.*")
     data = codecs.constant(value, tile * tile * channels, pixel_type)
@@ -152,37 +156,40 @@ class Sink:
 
     def __init__(self, spark: SparkSession, path: str, width: int, height: int, pixel_type: str = "UInt8", channels: int = 1, tile: int = 64, fields: dict[str, str] | None = None, **options: str):
         self.spark, self.path, self.options = spark, path, options | ({"fields": json.dumps(fields)} if fields else {})
-        blank = constant_image(spark, path, width, height, 0, pixel_type, channels, tile).collect()
-        self.tiles = {(r.tile_col, r.tile_row): r.asDict() | {"data": bytes(r.data), "width": width, "height": height} for r in blank}
-        self.written: set[tuple[int, int]] = set()
+        _checked(tile, pixel_type, channels)
+        self.canvas: tiff.Canvas | None = tiff.Canvas(tiff.Image(width, height, pixel_type, channels, tile, tile))
+
+    def _open(self) -> tiff.Canvas:
+        if self.canvas is None:
+            raise InvalidArgument("the image is closed")
+        return self.canvas
 
     def write_tile(self, col: int, row: int, data: bytes | str) -> None:
         """data: the tile's samples, or their hexadecimal digits."""
-        if self.tiles is None:
-            raise InvalidArgument("the image is closed")
-        data = bytes.fromhex(data) if isinstance(data, str) else bytes(data)
-        held = self.tiles.get((col, row))
-        if held is None:
-            raise OutOfRange(f"tile {col}, {row}")
-        if len(data) != len(held["data"]):
-            raise InvalidArgument(f"a tile has {len(held['data'])} bytes")
-        held["data"] = data
-        self.written.add((col, row))
+        self._open().write_tile(col, row, bytes.fromhex(data) if isinstance(data, str) else data)
 
     def fill(self, value: float) -> None:
         """All tiles, of one value."""
-        for (col, row), held in list(self.tiles.items()):
-            self.write_tile(col, row, codecs.constant(value, held["tile_w"] * held["tile_h"] * held["channel_count"], held["pixel_type"]))
+        canvas = self._open()
+        data = codecs.constant(value, canvas.size // samples.TYPES[canvas.image.pixel_type][0], canvas.image.pixel_type)
+        for number in range(len(canvas.tiles)):
+            canvas.write_tile(number % canvas.cols, number // canvas.cols, data)
 
     def info(self) -> dict[str, object]:
-        return {"path": self.path, "tiles": len(self.tiles or ()), "written": len(self.written), "open": self.tiles is not None, **self.options}
+        open_ = self.canvas is not None
+        return {"path": self.path, "tiles": len(self.canvas.tiles) if open_ else 0, "written": len(self.canvas.written) if open_ else 0, "open": open_, **self.options}
 
     def close(self) -> None:
         """Writes the file; what goes wrong is raised. A second call does nothing."""
-        if self.tiles is not None:
-            rows, self.tiles = list(self.tiles.values()), None
-            schema = self.spark.createDataFrame([], schemas.TILES).schema
-            write(self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema), **self.options)
+        if self.canvas is None:
+            return
+        canvas, self.canvas = self.canvas, None
+        i = canvas.image
+        schema = self.spark.createDataFrame([], schemas.TILES).schema
+        place = lambda n: {"tile_col": n % canvas.cols, "tile_row": n // canvas.cols, "linear_index": n, "x": n % canvas.cols * i.tile_w, "y": n // canvas.cols * i.tile_h}
+        same = {"path": self.path, "image_index": 0, "level": 0, "tile_w": i.tile_w, "tile_h": i.tile_h, "pixel_type": i.pixel_type, "channel_count": i.channels, "width": i.width, "height": i.height}
+        rows = [same | place(n) | {"data": data} for n, data in enumerate(canvas.tiles)]
+        write(self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema), **self.options)
 
 
 def describe(**options: object) -> str:

@@ -63,11 +63,16 @@ def _marked(edges: DataFrame, entities: DataFrame, type_col: str, id_col: str, n
     return edges.join(e, ["scene_id", type_col, id_col], "left")
 
 
+def _place(*keys: str) -> Column:
+    """A row's place among those of equal keys, by ordinal. Rows are sorted by a hash first, so most compare by one number."""
+    return F.row_number().over(Window.partitionBy(F.xxhash64(*keys), *keys).orderBy("ordinal"))
+
+
 def judged_relationships(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """edges with reason: null if accepted, else not-found, invalid-domain or duplicate."""
     rows = _marked(_marked(edges, entities, "src_type", "src_id", "_src"), entities, "dst_type", "dst_id", "_dst")
     fine = F.col("_src").isNotNull() & F.col("_dst").isNotNull() & allowed(F.col("kind"), F.col("src_type"), F.col("dst_type"))
-    place = F.row_number().over(Window.partitionBy("scene_id", "src_type", "src_id", "kind", "dst_type", "dst_id").orderBy("ordinal"))
+    place = _place("scene_id", "src_type", "src_id", "kind", "dst_type", "dst_id")
     reason = F.when(F.col("_src").isNull() | F.col("_dst").isNull(), "not-found").when(~fine, "invalid-domain").when(place > 1, "duplicate")
     return rows.withColumn("reason", reason).drop("_src", "_dst")
 
@@ -77,7 +82,7 @@ def judged_provenance(edges: DataFrame, entities: DataFrame) -> DataFrame:
     processes = entities.where("entity_type = 'process-record'")
     rows = edges.withColumn("_type", F.lit("process-record"))
     rows = _marked(_marked(rows, processes, "_type", "process_id", "_p"), entities, "entity_type", "entity_id", "_e")
-    place = F.row_number().over(Window.partitionBy("scene_id", "process_id", "kind", "entity_type", "entity_id").orderBy("ordinal"))
+    place = _place("scene_id", "process_id", "kind", "entity_type", "entity_id")
     reason = F.when(F.col("_p").isNull() | F.col("_e").isNull(), "not-found").when(place > 1, "duplicate")
     return rows.withColumn("reason", reason).drop("_type", "_p", "_e")
 

@@ -175,12 +175,17 @@ def images(read: ReadAt) -> list[Image]:
 
 def read_tile(read: ReadAt, image: Image, col: int, row: int) -> bytes:
     """A tile's samples, decoded, little-endian."""
-    if not (0 <= col < image.cols and 0 <= row < image.rows):
+    cols = image.cols
+    if not (0 <= col < cols and 0 <= row < image.rows):
         raise OutOfRange("tile index")
-    offset, count = image.ranges[row * image.cols + col]
+    offset, count = image.ranges[row * cols + col]
     raw = read(offset, count)
     if len(raw) < count:
         raise InvalidArgument("tile outside the file")
+    if image.compression == "None" and image.predictor == 1 and image.little:
+        if count != image.tile_bytes(row):
+            raise InvalidArgument("another size than the tile's")
+        return raw
     w, _ = image.tile_size(row)
     out = codecs.decode_tile(raw, image.tile_bytes(row), image.compression, image.predictor, w, image.channels, image.pixel_type, image.little)
     if not image.little:
@@ -271,3 +276,26 @@ def write(group: list[Image], tiles: list[Iterable[bytes]], namespace: str = "im
         encoded.append(own)
     head, _ = plan(group, [[len(d) for d in own] or [0] * (i.cols * i.rows) for i, own in zip(group, encoded, strict=True)], namespace, big)
     return b"".join([head, *(d for own in encoded for d in own)])
+
+
+class Canvas:
+    """An image in memory whose tiles come in any order; those that never come are zero."""
+
+    def __init__(self, image: Image):
+        self.image, self.cols, self.rows = image, image.cols, image.rows
+        self.size = image.tile_bytes(0)
+        blank = bytes(self.size)
+        self.tiles = [blank] * (self.cols * self.rows)
+        self.written: set[int] = set()
+
+    def write_tile(self, col: int, row: int, data: bytes) -> None:
+        if not (0 <= col < self.cols and 0 <= row < self.rows):
+            raise OutOfRange(f"tile {col}, {row}")
+        if len(data) != self.size:
+            raise InvalidArgument(f"a tile has {self.size} bytes")
+        number = row * self.cols + col
+        self.tiles[number] = bytes(data)
+        self.written.add(number)
+
+    def file(self, namespace: str = "image") -> bytes:
+        return write([self.image], [self.tiles], namespace)

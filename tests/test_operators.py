@@ -8,10 +8,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae import api
+from tesserae import api, schemas
 from tesserae.errors import InvalidArgument
 from tesserae.functions import fields, geometry, grid, samples
-from tesserae.operators import graph, kernels
+from tesserae.operators import graph, kernels, stats
 
 REPO = Path(__file__).parent.parent
 
@@ -140,3 +140,43 @@ def test_stands_without_the_optional_folder(tmp_path):
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
     run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), sorted(e.queries())[0])"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert run.returncode == 0 and "axis_validation" in run.stdout, run.stderr
+
+
+def test_storage_trees_refuse(spark):
+    from tesserae.operators import storage
+
+    row = (0, 0, 10, 10, 1, "UInt8", "None", 8, 8, None, None, {"image.spice.frame": "J2000"})
+    schema = f"scene_id int, id bigint, width bigint, height bigint, channel_count int, pixel_type string, compression string, tile_w bigint, tile_h bigint, camera {schemas.CAMERA}, crs {schemas.CRS}, fields map<string,string>"
+    good = spark.createDataFrame([row], schema)
+    assert storage.images(storage.serialised(good)).first().fields == {"image.spice.frame": "J2000"}
+    for change in ({"channel_count": 513}, {"pixel_type": "UInt16", "compression": "Jpeg"}, {"compression": "Odd"}):
+        bad = good
+        for name, value in change.items():
+            bad = bad.withColumn(name, F.lit(value))
+        with pytest.raises(Exception, match="INVALID_ARGUMENT"):
+            storage.serialised(bad).collect()
+    tree = storage.serialised(good)
+    for key, value in (("imageWidth", "wide"), ("pixelType", "odd"), ("image.scene.object_type", "odd")):
+        broken = tree.withColumn("fields", fields.upsert(F.col("fields"), F.lit(key), F.lit(value)))
+        with pytest.raises(Exception, match="INVALID_ARGUMENT"):
+            storage.images(broken).collect()
+
+
+def test_parameters_and_identifiers(spark):
+    m = F.create_map(F.lit("k1"), F.lit(0.5))
+    assert values(spark, fields.parameter(m, "k1")) == [0.5]
+    with pytest.raises(Exception, match="NOT_FOUND"):
+        values(spark, fields.parameter(m, "k2"))
+    with pytest.raises(Exception, match="NOT_IMPLEMENTED"):
+        values(spark, fields.crs_identifier())
+
+
+def test_statistics_of_odd_samples(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([(1, [0.0, 1.0, nan, inf, -inf, None]), (2, [nan, None]), (3, [5.0])], "k int, v array<double>")
+    by_array = {(r.k, r.bin): (r.n, r.label) for r in stats.array_histogram(rows, ["k"], "v").collect()}
+    flat = rows.select("k", F.explode("v").alias("value"))
+    assert by_array == {(r.k, r.bin): (r.n, r.label) for r in stats.histogram(flat, ["k"]).collect()} == {(1, 0): (1, 0), (1, 63): (1, 0), (3, 0): (1, 5)}
+    assert {r.k: (r.min_value, r.max_value, r.n) for r in stats.channel_stats(flat, ["k"]).collect()} == {1: (0.0, 1.0, 2), 3: (5.0, 5.0, 1)}
+    times = spark.createDataFrame([("a", float(x)) for x in (3, 1, 2, 4)] + [("b", 7.0), ("c", 2.0), ("c", 1.0), ("c", 3.0)], "k string, ms double")
+    assert {r.k: (r.median_ms, r.min_ms, r.max_ms) for r in stats.timing_summary(times, ["k"], "ms").collect()} == {"a": (3.0, 1.0, 4.0), "b": (7.0, 7.0, 7.0), "c": (2.0, 1.0, 3.0)}
