@@ -18,7 +18,7 @@ T = TypeVar("T")
 
 # Characters that separate words: space, and U+0009 to U+000D.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,9 +23,9 @@ from tesserae.llm.common import bounded, held, written
 
 END_ID = 2
 # Words whose ids a worker remembers, the first that came twice in a batch; others are encoded again in each batch.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 WORDS_A_STRING = 256
-BATCH_BYTES = 10 << 20
+BATCH_BYTES = 8 << 20
 # White space beside a space, at either end, or any but plain ASCII space and line breaks: no certain cut.
 _UNCERTAIN = "  |[\\t\\n\\x0b\\f\\r] | [\\t\\n\\x0b\\f\\r]|\\A[\\t\\n\\x0b\\f\\r ]|[\\t\\n\\x0b\\f\\r ]\\z|[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
