@@ -37,7 +37,8 @@ _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 class Pieces(tokens.Encoder):
     """A .model file with identity normalisation and byte fallback."""
 
-    UNCERTAIN = f"  |^ | $|{SPACE}"
+    UNCERTAIN = f"\x01|  |^ | $|{SPACE}"
+    line_break = None  # pieces may hold a letter and what follows it, so words are not cut
 
     def __init__(self, path: str, kind: int | None = None):
         from sentencepiece import sentencepiece_model_pb2

@@ -25,9 +25,11 @@ END_ID = 2
 # Words whose ids a worker remembers, the first that came twice in a batch; others are encoded again in each batch.
 REMEMBERED = 200_000
 WORDS_A_STRING = 256
+# Letters and digits whose kind no version of Unicode has changed: no token holds one and the punctuation after it.
+LETTERS = "A-Za-z0-9\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}"
 BATCH_BYTES = 8 << 20
 # White space beside a space, at either end, or any but plain ASCII space and line breaks: no certain cut.
-_UNCERTAIN = "  |[\\t\\n\\x0b\\f\\r] | [\\t\\n\\x0b\\f\\r]|\\A[\\t\\n\\x0b\\f\\r ]|[\\t\\n\\x0b\\f\\r ]\\z|[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_UNCERTAIN = "\\x01|  |[\\t\\n\\x0b\\f\\r] | [\\t\\n\\x0b\\f\\r]|\\A[\\t\\n\\x0b\\f\\r ]|[\\t\\n\\x0b\\f\\r ]\\z|[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
 class Encoder:
@@ -42,9 +44,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
-        # The id of a line break between words, if it has one of its own.
-        found = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("\n", "a\nb", "a\n b")]
-        self.separator = found[0][0] if len(found[0]) == 1 and all(x.count(found[0][0]) == 1 for x in found) else None
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        # What a line break between words becomes, if that is the same everywhere; and its id, if it is one.
+        found = ids("\n")
+        certain = ids("a\nb.") == ids("a") + found + ids("b") + ids(".") and ids("a\n b\n7") == ids("a") + found + ids(" b") + found + ids("7")
+        self.line_break = np.array(found, "<i4").tobytes() if certain else None
+        self.separator = found[0] if certain and len(found) == 1 else None
+        if certain:
+            self.known["\n"] = self.line_break
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -57,22 +64,8 @@ class Encoder:
         if self.separator is None:
             return self._by_offsets(words)
         out: list[bytes] = [b""] * len(words)
-        plain = [i for i, w in enumerate(words) if "\n" not in w]
-        rest = self._plain(words, plain, out)
-        # A word with line breaks inside is what lies between them: no white space stands beside a break.
-        broken = [(i, w.split("\n")) for i, w in enumerate(words) if "\n" in w]
-        rest += [i for i, parts in broken if not all(parts)]
-        parts = list({p for _, ps in broken if all(ps) for p in ps})
-        ids = [b""] * len(parts)
-        odd = {parts[i] for i in self._plain(parts, list(range(len(parts))), ids)}
-        of, line_break = dict(zip(parts, ids, strict=True)), np.array([self.separator], "<i4").tobytes()
-        for i, ps in broken:
-            if not all(ps):
-                continue
-            if odd.isdisjoint(ps):
-                out[i] = line_break.join(map(of.__getitem__, ps))
-            else:
-                rest.append(i)
+        rest = [i for i, w in enumerate(words) if "\n" in w]
+        rest += self._plain(words, [i for i, w in enumerate(words) if "\n" not in w], out)
         for i, found in zip(rest, self._by_offsets([words[i] for i in rest]), strict=True):
             out[i] = found
         return out
@@ -111,6 +104,46 @@ class Encoder:
                 out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
+    def _units(self, kinds: pa.Array) -> pa.Array:
+        """Lists of what words are put together from: parts at line breaks inside, and punctuation after a letter or digit."""
+        if self.line_break is not None:
+            kinds = pc.replace_substring_regex(kinds, "([^\\s])\n([^\\s])", "\\1\x01\n\x01\\2")
+            kinds = pc.replace_substring_regex(kinds, f"([{LETTERS}])([.,;:!?]+)(\x01|$)", "\\1\x01\\2\\3")
+        return pc.split_pattern(kinds, "\x01")
+
+    def _kinds(self, kinds: pa.Array, at_start: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words after a space, then of those at a text's start: all in a row, and how many each has.
+
+        times: how often each occurs.
+        """
+        if not len(kinds):
+            return np.zeros(0, "<i4"), np.zeros(0, np.int64)
+        lists = self._units(kinds)
+        first, counts = np.asarray(lists.offsets)[:-1], np.diff(np.asarray(lists.offsets))
+        coded = lists.flatten().dictionary_encode()
+        unit, names = np.array(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        spaced = np.zeros(len(unit), bool)
+        spaced[first] = True
+        # Places of words at a text's start come after the others; their first units have no space before them.
+        more = np.arange(counts[at_start].sum()) + np.repeat(first[at_start] - np.cumsum(counts[at_start]) + counts[at_start], counts[at_start])
+        unit, spaced = np.concatenate([unit, unit[more]]), np.concatenate([spaced, np.zeros(len(more), bool)])
+        counts = np.concatenate([counts, counts[at_start]])
+        with_space, without = np.unique(unit[spaced]), np.unique(unit[~spaced])
+        key = np.where(spaced, np.searchsorted(with_space, unit), len(with_space) + np.searchsorted(without, unit))
+        keys = [" " + names[i] for i in with_space.tolist()] + [names[i] for i in without.tolist()]
+        get = self.known.get
+        ids = [get(k) for k in keys]
+        missing = [i for i, x in enumerate(ids) if x is None]
+        again = (np.bincount(key, weights=np.repeat(times, counts), minlength=len(keys)) > 1).tolist()
+        for i, x in zip(missing, self._words([keys[i] for i in missing]), strict=True):
+            ids[i] = x
+            if again[i] and len(self.known) < REMEMBERED:
+                self.known[keys[i]] = x
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        values = np.frombuffer(b"".join(ids), "<i4")
+        begins = np.cumsum(sizes) - sizes
+        return _gathered(values, begins[key], sizes[key]), np.add.reduceat(sizes[key], np.cumsum(counts) - counts)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32), one text after the other, and where each text's ids begin (one more entry than texts)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -123,30 +156,17 @@ class Encoder:
         firsts[offsets[:-1]] = True
         codes = words.dictionary_encode()
         index = np.array(codes.indices)
-        kinds = codes.dictionary.to_pylist()
         # A text's first word has no space before it, so it is a kind of its own.
         at_start = np.unique(index[firsts])
-        index[firsts] = len(kinds) + np.searchsorted(at_start, index[firsts])
-        keys = [" " + w for w in kinds] + [kinds[i] for i in at_start.tolist()]
-        del kinds, codes, words, lists
-        get = self.known.get
-        ids = [get(k) for k in keys]
-        missing = [i for i, x in enumerate(ids) if x is None]
-        again = (np.bincount(index, minlength=len(keys)) > 1).tolist()
-        for i, x in zip(missing, self._words([keys[i] for i in missing]), strict=True):
-            ids[i] = x
-            if again[i] and len(self.known) < REMEMBERED:
-                self.known[keys[i]] = x
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        index[firsts] = len(codes.dictionary) + np.searchsorted(at_start, index[firsts])
+        values, sizes = self._kinds(codes.dictionary, at_start, np.bincount(index, minlength=len(codes.dictionary) + len(at_start)))
+        del codes, words, lists
         begins = np.cumsum(sizes) - sizes
-        values = np.frombuffer(b"".join(ids), "<i4")
         totals = np.concatenate([[0], np.cumsum(sizes[index])])
         flat = np.empty(totals[-1], "<i4")
         for at in range(0, len(index), 1 << 19):
             some = index[at : at + (1 << 19)]
-            each, first = sizes[some], totals[at : at + len(some)] - totals[at]
-            gather = np.arange(int(each.sum())) + np.repeat(begins[some] - first, each)
-            flat[totals[at] : totals[at + len(some)]] = values[gather]
+            flat[totals[at] : totals[at + len(some)]] = _gathered(values, begins[some], sizes[some])
         lengths = np.zeros(n, np.int64)
         lengths[certain] = totals[offsets[1:]] - totals[offsets[:-1]]
         if certain.all():
@@ -160,6 +180,12 @@ class Encoder:
         return out, bounds
 
 
+def _gathered(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of values, one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes)]
+
+
 def encoder(path: str) -> Encoder:
     """One for each worker process."""
     return held(("encoder", path), lambda: Encoder(path))
