@@ -24,7 +24,7 @@ from tesserae.llm.common import bounded, held, written
 END_ID = 2
 # Words whose ids a worker remembers, the first that came twice in a batch; others are encoded again in each batch.
 REMEMBERED = 200_000
-WORDS_A_STRING = 256
+WORDS_A_STRING = 64
 # Letters and digits whose kind no version of Unicode has changed: no token holds one and the punctuation after it.
 LETTERS = "A-Za-z0-9\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}"
 BATCH_BYTES = 8 << 20
@@ -253,7 +253,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = END_ID, row_group_
     doc_ids or for n_tokens alone reads little else.
     """
     table = in_order(docs).mapInArrow(_encoded(path, end_id), "shard int, row long, doc_id long, n_tokens long, tokens array<int>")
-    options = {"parquet.block.size": row_group_mb << 20, "parquet.page.size": page_kb << 10, "parquet.page.row.count.limit": 2_000, "compression": "zstd", "parquet.writer.version": "v2" if delta else "v1"}
+    options = {"parquet.block.size": row_group_mb << 20, "parquet.page.size": page_kb << 10, "parquet.page.row.count.limit": 2_000, "compression": "zstd", "parquet.compression.codec.zstd.level": 1, "parquet.writer.version": "v2" if delta else "v1"}
     options |= {"parquet.enable.dictionary#tokens.list.element": str(not delta).lower(), "parquet.enable.dictionary#doc_id": "false"}
     table.write.options(**options).parquet(out)
 
