@@ -45,13 +45,17 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        # What a line break between words becomes, if that is the same everywhere; and its id, if it is one.
+        # What a line break between words becomes, if that is the same everywhere.
         found = ids("\n")
-        certain = ids("a\nb.") == ids("a") + found + ids("b") + ids(".") and ids("a\n b\n7") == ids("a") + found + ids(" b") + found + ids("7")
-        self.line_break = np.array(found, "<i4").tobytes() if certain else None
-        self.separator = found[0] if certain and len(found) == 1 else None
-        if certain:
-            self.known["\n"] = self.line_break
+        self.line_break = None
+        if ids("a\nb.") == ids("a") + found + ids("b") + ids(".") and ids("a\n b\n7") == ids("a") + found + ids(" b") + found + ids("7"):
+            self.line_break = self.known["\n"] = np.array(found, "<i4").tobytes()
+        # What may stand between words as one token of its own: the string, its mark and its id.
+        self.between: tuple[str, str, int] | None = None
+        for string, mark in (("\n", "\n"), ("\n~\n", "~")):
+            found = ids(string)
+            if self.between is None and len(found) == 1 and all(ids(x + string + y) == ids(x) + found + ids(y) for x, y in (("a", "b."), ("a.", " b"), ("7", " 7"), (",", "-"))):
+                self.between = string, mark, found[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -60,32 +64,28 @@ class Encoder:
         return out
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Many words in one string, a line break between any two."""
-        if self.separator is None:
+        """Many words in one string, a token that none of them holds between any two."""
+        if self.between is None:
             return self._by_offsets(words)
+        string, mark, number = self.between
         out: list[bytes] = [b""] * len(words)
-        rest = [i for i, w in enumerate(words) if "\n" in w]
-        rest += self._plain(words, [i for i, w in enumerate(words) if "\n" not in w], out)
-        for i, found in zip(rest, self._by_offsets([words[i] for i in rest]), strict=True):
-            out[i] = found
-        return out
-
-    def _plain(self, words: list[str], wanted: list[int], out: list[bytes]) -> list[int]:
-        """Sets the wanted places of out. Words hold no line break; those that one between them does not part are returned."""
-        left: list[int] = []
-        for at in range(0, len(wanted), WORDS_A_STRING * 32):
-            groups = [wanted[i : i + WORDS_A_STRING] for i in range(at, min(len(wanted), at + WORDS_A_STRING * 32), WORDS_A_STRING)]
-            found = self.tokenizer.encode_batch_fast(["\n".join([words[i] for i in g]) for g in groups], add_special_tokens=False)
+        plain = [i for i, w in enumerate(words) if mark not in w]
+        rest = [i for i, w in enumerate(words) if mark in w] if len(plain) < len(words) else []
+        for at in range(0, len(plain), WORDS_A_STRING * 32):
+            groups = [plain[i : i + WORDS_A_STRING] for i in range(at, min(len(plain), at + WORDS_A_STRING * 32), WORDS_A_STRING)]
+            found = self.tokenizer.encode_batch_fast([string.join([words[i] for i in g]) for g in groups], add_special_tokens=False)
             for group, e in zip(groups, found, strict=True):
                 ids = np.array(e.ids, "<i4")
-                breaks = np.flatnonzero(ids == self.separator)
+                breaks = np.flatnonzero(ids == number)
                 if len(breaks) != len(group) - 1:
-                    left += group
+                    rest += group
                     continue
                 data, begins, ends = ids.tobytes(), [0, *(4 * breaks + 4).tolist()], [*(4 * breaks).tolist(), 4 * len(ids)]
                 for i, a, b in zip(group, begins, ends, strict=True):
                     out[i] = data[a:b]
-        return left
+        for i, ids in zip(rest, self._by_offsets([words[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
 
     def _by_offsets(self, words: list[str]) -> list[bytes]:
         """The same by the places that tokens come from: a token belongs to the word that it starts in."""
