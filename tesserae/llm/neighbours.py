@@ -8,8 +8,9 @@ codes is scanned by table look-ups.
 
 Each code keeps the length of its residual, which bounds its products' errors. So how many rows a query has scored
 exactly follows from measured errors: all whose product may reach the k-th best (`sure` standard errors either
-side; None takes the proven bound and finds the exact answer). There is no cap. Only codes meet the queries, in a
-grid of blocks; vectors are joined to the finalists, and blocks that many queries ask for are split.
+side; None takes the proven bound and finds the exact answer). There is no cap. Blocks of rows and of queries meet in
+a grid whose cells have a bounded number of bytes; a cell scans its codes for a few queries at a time, scores their
+finalists at once and gives on no more than the k best of each, however many finalists there are.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from tesserae.llm.common import release, skewed_join, written
+from tesserae.llm.common import dropped, release, skewed_join, written
 
 # The model is fitted on at most this many rows, those whose ids have the smallest hashes.
 SAMPLE_ROWS = 8_192
@@ -31,9 +33,13 @@ CENTRES, SWEEPS, ROUNDS = 16, 2, 5
 THRESHOLD = 0.2  # of a vector's norm: products above it matter
 SURE = 1.25
 BLOCK_ROWS, BLOCK_QUERIES = 262_144, 16_384
-CELLS_AT_ONCE = 1 << 20  # products held at once
-VECTOR_ROWS, PAIRS = 16_384, 65_536  # rows in a block of vectors, finalists that a task scores
-MOST_BLOCKS = 1_000_000
+ROWS_BYTES, QUERIES_BYTES = 64 << 20, 16 << 20  # a block's vectors in double precision, whatever their length
+LEAST_ROWS, LEAST_QUERIES = 16_384, 1_024  # smaller blocks aren't made for the sake of more tasks
+CELLS_AT_ONCE = 1 << 22  # products held at once
+SCAN_ROWS = 4_096  # rows whose sums stay in a core's cache
+VECTOR_ROWS = 16_384  # vectors encoded or scored at once
+GROUP = 64  # rows of which only the best one counts for a bound
+SPREAD = 60.0  # between logarithms of norms, up to which products in single precision keep their order
 FLOOR, LIFT = -60.0, 1_300.0  # the logarithm of the smallest cosine that is told from zero; lifts all logarithms above zero
 
 
@@ -118,12 +124,15 @@ def encode(q: Quantiser, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scan(q: Quantiser, codes: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Approximate products, queries x rows."""
-    products = np.einsum("qmd,mkd->qmk", _in_pairs(queries), q.centres).astype(np.float32)
-    tables = (products[:, 0::2, :, None] + products[:, 1::2, None, :]).reshape(len(queries), q.pairs // 2, 256)
-    out = np.zeros((len(queries), len(codes)), np.float32)
-    for p in range(codes.shape[1]):
-        out += np.take(tables[:, p], codes[:, p], axis=1)
+    """Approximate products, rows x queries."""
+    products = np.einsum("qmd,mkd->mkq", _in_pairs(queries), q.centres).astype(np.float32)
+    tables = (products[0::2, :, None] + products[1::2, None, :]).reshape(q.pairs // 2, 256, len(queries))
+    out = np.zeros((len(codes), len(queries)), np.float32)
+    part = np.empty((min(SCAN_ROWS, len(codes)), len(queries)), np.float32)
+    for at in range(0, len(codes), SCAN_ROWS):
+        places, sums = codes[at : at + SCAN_ROWS].astype(np.intp), out[at : at + SCAN_ROWS]
+        for p in range(codes.shape[1]):
+            sums += np.take(tables[p], places[:, p], axis=0, out=part[: len(sums)], mode="clip")
     return out
 
 
@@ -138,40 +147,67 @@ def _keys(cosines: np.ndarray, norms: np.ndarray) -> np.ndarray:
     return np.where(cosines < 0, -size, size)
 
 
+def _bound(least: np.ndarray, k: int) -> np.ndarray:
+    """For each column a number that k of its values reach at least, close to the k-th largest: each group of rows counts by its best one."""
+    group = max(1, min(GROUP, len(least) // (32 * k)))
+    best = least[: len(least) // group * group].reshape(-1, group, least.shape[1]).max(1)
+    return np.partition(best, len(best) - k, axis=0)[len(best) - k]
+
+
 def finalists(q: Quantiser, codes: np.ndarray, errors: np.ndarray, norms: np.ndarray, units: np.ndarray, k: int, sure: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query (a row of units): the rows that may be among its k best, the most that each may reach, and the least
-    that the best k reach."""
+    """For each query (a row of units): the rows that may be among its k best, and the most and the least that each may
+    reach, in numbers that have the order of products."""
     # A residual's part along a query is some 1/sqrt(d) of its length; at most it is all of it, and tables are rounded.
-    margin = errors + 1e-4 if sure is None else sure * errors / np.sqrt(2 * q.pairs)
+    margin = (errors + 1e-4 if sure is None else sure * errors / np.sqrt(2 * q.pairs))[:, None]
     step = max(1, CELLS_AT_ONCE // max(1, len(codes)))
+    near = len(norms) > 0 and norms.max() - norms.min() < SPREAD
+    if near:
+        weight = np.exp2(norms - norms.max())[:, None]
+        twice, margin, weight = (2 * margin * weight).astype(np.float32), margin.astype(np.float32), weight.astype(np.float32)
     for at in range(0, len(units), step):
-        rough = scan(q, codes, units[at : at + step]).astype(np.float64)
-        least, most = _keys(rough - margin, norms), _keys(rough + margin, norms)
+        least = scan(q, codes, units[at : at + step])
+        if near:
+            least -= margin
+            least *= weight
+            most = least + twice
+        else:
+            rough = least.astype(np.float64)
+            least, most = _keys(rough - margin, norms[:, None]), _keys(rough + margin, norms[:, None])
         if len(codes) > k:
-            best = np.partition(least, len(codes) - k, axis=1)[:, len(codes) - k :]
-            for row, high in zip(best, most, strict=True):
-                some = np.flatnonzero(high >= row.min())
-                yield some, high[some], row
+            rows, of = np.nonzero(most >= _bound(least, k))
+            order = np.argsort(of, kind="stable")
+            ends = np.searchsorted(of[order], np.arange(1, least.shape[1]))
+            for i, some in enumerate(np.split(rows[order], ends)):
+                yield some, most[some, i], least[some, i]
         else:
-            for low, high in zip(least, most, strict=True):
+            for low, high in zip(least.T, most.T, strict=True):
                 yield np.arange(len(codes)), high, low
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by powers of two, so that none of their components is beyond one; and the exponents."""
+    _, a = np.frexp(np.abs(x).max(1))
+    return np.ldexp(x, -a[:, None]), a
+
+
 def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Inner products of rows in double precision; rows are scaled by powers of two first, so only results can overflow."""
-    _, a = np.frexp(np.abs(x).max(1))
-    _, b = np.frexp(np.abs(y).max(1))
+    return _products(*scaled(x), *scaled(y))
+
+
+def _products(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.ldexp((np.ldexp(x, -a[:, None]) * np.ldexp(y, -b[:, None])).sum(1), a + b)
+        return np.ldexp((x * y).sum(1), a + b)
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """vec_id, v (array of double): rows that can take part.
+    """vec_id, v (array of float if the embeddings are, else of double): rows that can take part.
 
     Out are null ids, vectors that are null, empty, zero or hold null, NaN or infinite components, and vectors
     of another length than most. Of rows that repeat an id the smallest vector stands for it.
     """
-    v = F.col("embedding").cast("array<double>")
+    kind = rows.schema["embedding"].dataType
+    v = F.col("embedding") if kind == ArrayType(FloatType(), kind.containsNull) else F.col("embedding").cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(fine)
     length = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)  # one row
@@ -186,9 +222,6 @@ def fit_on(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Quantiser | None:
     return fit(_matrix(sample.column(0), len(sample.column(0)[0])))
 
 
-INDEX = "vec_id long, v array<double>, asks boolean, g binary, norm double, error double, codes binary"
-
-
 def index(rows: DataFrame, q: Quantiser) -> DataFrame:
     """rows (vec_id, v, asks) with g (a 128-bit hash of the vector), norm, error and codes: every row is encoded."""
 
@@ -201,60 +234,38 @@ def index(rows: DataFrame, q: Quantiser) -> DataFrame:
                 units, norms = directions(x)
                 codes, errors = encode(q, units)
                 g = [hashlib.md5(r.tobytes(), usedforsecurity=False).digest() for r in x + 0.0]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g, pa.binary()), pa.array(norms), pa.array(errors), pa.array([c.tobytes() for c in codes], pa.binary())], [c.split()[0] for c in INDEX.split(", ")])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g, pa.binary()), pa.array(norms), pa.array(errors), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "asks", "g", "norm", "error", "codes"])
 
-    return rows.mapInArrow(run, INDEX)
+    return rows.mapInArrow(run, f"vec_id long, v {rows.schema['v'].dataType.simpleString()}, asks boolean, g binary, norm double, error double, codes binary")
 
 
-def _scanned(indexed: DataFrame, asked: DataFrame, q: Quantiser, k: int, sure: float | None, row_blocks: int, query_blocks: int) -> DataFrame:
-    """g, ids, most, least: each query's finalists in each block of codes."""
+def _found(indexed: DataFrame, asked: DataFrame, q: Quantiser, k: int, sure: float | None, row_blocks: int, query_blocks: int) -> DataFrame:
+    """g, ids, scores: each query's k best in each block of rows, ties to smaller ids."""
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     block = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
-    left = indexed.select(block("vec_id", row_blocks).alias("b"), spread(query_blocks).alias("c"), "vec_id", "norm", "error", "codes")
+    left = indexed.select(block("vec_id", row_blocks).alias("b"), spread(query_blocks).alias("c"), "vec_id", "v", "norm", "error", "codes")
     right = asked.select(spread(row_blocks).alias("b"), block("g", query_blocks).alias("c"), "g", "v")
-    schema = pa.schema([("g", pa.binary()), ("ids", pa.list_(pa.int64())), ("most", pa.list_(pa.float64())), ("least", pa.list_(pa.float64()))])
+    schema = pa.schema([("g", pa.binary()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
     def run(data: pa.Table, questions: pa.Table) -> pa.Table:
         release()
         if not data.num_rows or not questions.num_rows:
             return schema.empty_table()
-        ids = data.column("vec_id").to_numpy()
+        data = data.sort_by("vec_id")
+        ids, d = data.column("vec_id").to_numpy(), len(data.column("v")[0])
         codes = np.frombuffer(b"".join(data.column("codes").to_pylist()), np.uint8).reshape(data.num_rows, -1)
-        units, _ = directions(_matrix(questions.column("v"), len(questions.column("v")[0])))
-        found = list(finalists(q, codes, data.column("error").to_numpy(), data.column("norm").to_numpy(), units, k, sure))
+        (x, a), asks = scaled(_matrix(data.column("v"), d)), _matrix(questions.column("v"), d)
+        y, b = scaled(asks)
+        best, scores = [], []
+        for i, (some, _, _) in enumerate(finalists(q, codes, data.column("error").to_numpy(), data.column("norm").to_numpy(), directions(asks)[0], k, sure)):
+            score = np.concatenate([_products(x[part], a[part], y[i : i + 1], b[i : i + 1]) for part in (some[at : at + VECTOR_ROWS] for at in range(0, len(some), VECTOR_ROWS))])
+            first = np.argsort(-score, kind="stable")[:k]
+            best.append(ids[some[first]])
+            scores.append(score[first])
         lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts), kind))
-        columns = [questions.column("g").combine_chunks(), lists([ids[f[0]] for f in found], pa.int64()), lists([f[1] for f in found], pa.float64()), lists([f[2] for f in found], pa.float64())]
-        return pa.table(columns, schema=schema)
-
-    return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(run, "g binary, ids array<long>, most array<double>, least array<double>")
-
-
-def _scored(pairs: DataFrame, indexed: DataFrame, asked: DataFrame, n: int) -> DataFrame:
-    """g, vec_id, score of all pairs (g, vec_id). A block of vectors that many queries ask for is repeated, its pairs dealt by query."""
-    blocks = max(1, min(MOST_BLOCKS, -(-n // VECTOR_ROWS)))
-    block = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int").alias("r")
-    grouped = written(pairs.select("g", block, "vec_id").groupBy("g", "r").agg(F.collect_list("vec_id").alias("ids")), "finalists")
-    times = grouped.groupBy("r").agg(F.ceil(F.sum(F.size("ids")) / PAIRS).cast("int").alias("times"))
-    times = F.broadcast(times)  # at most MOST_BLOCKS rows of eight bytes
-    left = indexed.select(block, "vec_id", "v").join(times, "r").select("r", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("s"), "vec_id", "v")
-    right = grouped.join(asked.select("g", "v"), "g").join(times, "r").select("r", F.pmod(F.xxhash64("g"), F.col("times")).cast("int").alias("s"), "g", "v", "ids")
-    schema = pa.schema([("g", pa.binary()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def run(data: pa.Table, questions: pa.Table) -> pa.Table:
-        release()
-        if not data.num_rows or not questions.num_rows:
-            return schema.empty_table()
-        d = len(data.column("v")[0])
-        ids, x, y = data.column("vec_id").to_numpy(), _matrix(data.column("v"), d), _matrix(questions.column("v"), d)
-        order = np.argsort(ids)
-        lists = questions.column("ids").combine_chunks()
-        of = np.repeat(np.arange(len(y)), np.diff(np.asarray(lists.offsets)))
-        wanted = lists.flatten().to_numpy()
-        at = order[np.searchsorted(ids[order], wanted)]
-        score = np.concatenate([products(x[at[i : i + VECTOR_ROWS]], y[of[i : i + VECTOR_ROWS]]) for i in range(0, len(at), VECTOR_ROWS)])
-        return pa.table([questions.column("g").combine_chunks().take(pa.array(of)), pa.array(wanted), pa.array(score)], schema=schema)
+        return pa.table([questions.column("g").combine_chunks(), lists(best, pa.int64()), lists(scores, pa.float64())], schema=schema)
 
-    return left.groupBy("r", "s").cogroup(right.groupBy("r", "s")).applyInArrow(run, "g binary, vec_id long, score double")
+    return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(run, "g binary, ids array<long>, scores array<double>")
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int = 20, sure: float | None = SURE, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -270,23 +281,21 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, sure: float | N
     if q is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     indexed = written(index(rows, q), "index")
+    dropped(rows)
     # Of equal vectors the k + 1 smallest ids can be wanted at most, one being the query's own. Equal queries ask once.
     place = F.row_number().over(Window.partitionBy("g").orderBy("vec_id"))
-    wanted = written(indexed.drop("asks").withColumn("_place", place).where(F.col("_place") <= k + 1).drop("_place"), "wanted-vectors")
+    wanted = indexed.drop("asks").withColumn("_place", place).where(F.col("_place") <= k + 1).drop("_place")
     members = indexed.where("asks").select(F.col("vec_id").alias("query_id"), "g")
     asked = written(indexed.where("asks").groupBy("g").agg(F.first("v").alias("v"), F.count("*").alias("n")), "queries")
-    n = wanted.count()
+    n = indexed.groupBy("g").agg(F.least(F.count("*"), F.lit(k + 1)).alias("n")).agg(F.sum("n")).first()[0]
     n_distinct, n_queries = asked.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    row_blocks = max(1, -(-n // block_rows))
-    query_blocks = max(1, -(-n_distinct // block_queries), min(n_distinct // 32, 2 * spark.sparkContext.defaultParallelism // row_blocks))
-    scanned = written(_scanned(wanted, asked, q, k + 1, sure, row_blocks, query_blocks), "scanned")
-    # The k + 1 best of what blocks' rows reach at least: what may reach less in all is no finalist.
-    least = scanned.select("g", F.explode("least").alias("least"))
-    last = least.withColumn("_place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("least")))).where(F.col("_place") <= k + 1)
-    last = last.groupBy("g").agg(F.min("least").alias("last"), F.count("*").alias("n"))
-    reached = F.filter(F.arrays_zip("ids", "most"), lambda p: (p["most"] >= F.col("last")) | (F.col("n") <= k))
-    pairs = scanned.join(last, "g").select("g", F.explode(F.transform(reached, lambda p: p["ids"])).alias("vec_id"))
-    scores = _scored(pairs, wanted, asked, n)
+    tasks, size = 2 * spark.sparkContext.defaultParallelism, 16 * q.pairs
+    # Rows outnumber queries, so for the sake of more tasks their blocks are made smaller first.
+    query_blocks = max(1, -(-n_distinct // max(1, min(block_queries, QUERIES_BYTES // size))))
+    row_blocks = max(1, -(-n // max(1, min(block_rows, ROWS_BYTES // size))), min(n // LEAST_ROWS, -(-tasks // query_blocks)))
+    query_blocks = max(query_blocks, min(n_distinct // LEAST_QUERIES, tasks // row_blocks))
+    found = written(_found(wanted, asked, q, k + 1, sure, row_blocks, query_blocks), "found")
+    scores = found.select("g", F.explode(F.arrays_zip("ids", "scores")).alias("f")).select("g", F.col("f.ids").alias("vec_id"), F.col("f.scores").alias("score"))
     best = Window.partitionBy("g").orderBy(F.desc("score"), "vec_id")
     top = scores.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k + 1)
     lists = top.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("found")).join(asked.select("g", "n"), "g")

@@ -243,6 +243,28 @@ def test_recall_on_any_finite_vectors(kind):
         assert hits >= least * k * len(asked), (kind, sure)
 
 
+def test_cells_give_on_no_more_than_the_best(spark, monkeypatch):
+    """Rows so close to each other that codes can't tell them apart are all finalists; tables between steps hold k + 1 of them a block."""
+    x = (vectors(1, 32) + 1e-4 * vectors(2000, 32, 9)).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ids, write = [], neighbours.written
+
+    def spied(table, name):
+        out = write(table, name)
+        if "ids" in out.columns:
+            ids.append(out.agg(F.sum(F.size("ids"))).first()[0])
+        return out
+
+    monkeypatch.setattr(neighbours, "written", spied)
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, k=5, block_rows=500).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert ids and max(ids) <= 100 * 4 * 6
+    for i, found in got.items():
+        score = neighbours.products(x, x[i : i + 1])
+        assert [found[r] for r in range(1, 6)] == [j for j in np.lexsort((np.arange(2000), -score)).tolist() if j != i][:5]
+
+
 def test_products_scale_by_powers_of_two():
     rng = np.random.default_rng(7)
     x, y = rng.normal(size=(50, 8)), rng.normal(size=(50, 8))
