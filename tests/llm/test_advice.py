@@ -150,3 +150,30 @@ def test_near_dedup_keeps_one_row_of_each_component(spark):
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert [(i, t) for i, t in got if i is not None] == [(1, a), (2, b), (3, c), (4, " ")]
     assert [t.lower() for i, t in got if i is None] == [d.lower()]
+
+
+def many_trusted(spark):
+    """21000 trusted documents; only those whose ids have the largest hashes hold z, and none else."""
+    docs = spark.range(21_000).selectExpr("id AS doc_id", "'en' AS lang", "row_number() OVER (ORDER BY xxhash64(id), id) > 20000 AS late")
+    docs = docs.selectExpr("doc_id", "concat(if(late, 'zzz ', 'abc '), doc_id) AS text", "lang").cache()
+    return docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+
+
+def test_the_model_counts_all_trusted_documents(spark):
+    docs, labels = many_trusted(spark)
+    found = kneser_ney.train(docs, labels)
+    assert ord("z") in found.model.alphabet
+    tables = kneser_ney.fit(docs.where(f"pmod(xxhash64(text), {kneser_ney.MEASURED_IN}) <> 0").select("text"))
+    assert np.allclose(found.model.dense(), tables.collected().dense())
+    assert ord("z") not in kneser_ney.train(docs, labels, most=20_000).model.alphabet
+
+
+def test_rows_of_given_ids(spark, monkeypatch):
+    """A full map of hashes leaves all rows to the join, an empty one none; repeated and null ids."""
+    rows = spark.createDataFrame([(i % 900 if i < 1000 else None, str(i)) for i in range(1010)], "doc_id long, text string")
+    ids = spark.range(0, 2000, 3).withColumnRenamed("id", "doc_id")
+    for bits in (64, kneser_ney.MAP_BITS):
+        monkeypatch.setattr(kneser_ney, "MAP_BITS", bits)
+        got = sorted(int(r.text) for r in kneser_ney.among(rows, ids).collect())
+        assert got == [i for i in range(1000) if i % 900 % 3 == 0]
+        assert kneser_ney.among(rows, ids.where("doc_id < 0")).count() == 0
