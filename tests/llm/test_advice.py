@@ -177,3 +177,12 @@ def test_rows_of_given_ids(spark, monkeypatch):
         got = sorted(int(r.text) for r in kneser_ney.among(rows, ids).collect())
         assert got == [i for i in range(1000) if i % 900 % 3 == 0]
         assert kneser_ney.among(rows, ids.where("doc_id < 0")).count() == 0
+
+
+def test_the_pipeline_fits_on_all_trusted_documents(spark, tmp_path, monkeypatch):
+    docs, labels = many_trusted(spark)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    used = []
+    monkeypatch.setattr(kneser_ney, "kept", lambda rows, classifier: used.append(classifier) or rows)
+    corpus_pipeline.quality_classifier(spark, docs, str(tmp_path))
+    assert ord("z") in used[0].model.alphabet
